@@ -5,8 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import simhash
-from edgeloom.llm.common import table
+from edgeloom.llm import bpe, fertility, langid, secret_scan, simhash
+from edgeloom.llm.common import crc_mod, table
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("findings", lambda x: x["kind"] != "novel")
+    return found.select("doc_id", *(_count(k) for k in secret_scan.KINDS[:3]), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("findings")).alias("spans"), _count("novel"))
+
+
+def _count(kind: str):
+    return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, crc_mod(docs["doc_id"], 3) != 1)
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(True))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +37,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.assess(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_language": op2_language, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op9_fertility": op9_fertility}
 ORACLES: dict[str, str] = {}
