@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import bpe, fertility, langid, secret_scan, simhash
+from edgeloom.llm import bpe, fertility, langid, rule_ensemble, secret_scan, simhash, templates, toxicity
 from edgeloom.llm.common import crc_mod, table
 
 
@@ -26,6 +26,17 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents flagged as toxic, with the probability of each category."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = toxicity.fit(docs, labels, crc_mod(labels["doc_id"], 5) != 0)
+    return toxicity.predict(docs, chain).filter("toxic")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -37,9 +48,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = rule_ensemble.fit(docs, labels, crc_mod(labels["doc_id"], 5) != 0)
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(True))
+    return rule_ensemble.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.assess(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_language": op2_language, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op9_fertility": op9_fertility}
+QUERIES = {"op1_secrets": op1_secrets, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_fertility": op9_fertility}
 ORACLES: dict[str, str] = {}
