@@ -36,6 +36,8 @@ SAMPLE = 2048
 HOT = 256
 #: What a probe row costs, in verified candidates.
 PROBE_COST = 4.0
+#: Distinct fingerprints that the partition is planned for at least: small inputs get the plan of large ones, so work grows in proportion.
+PLANNED_FOR = 10_000_000
 
 _XX = xxhash.xxh64_intdigest
 
@@ -266,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = nodes.count()
     seen = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()
     sample = np.array([r[0] for r in seen], np.int64).view(np.uint64)
-    plan = plan_parts(sample, total, distance)
+    plan = plan_parts(sample, max(total, PLANNED_FOR), distance)
     edges = stored(links(nodes.select("fp"), plan, distance, hot))
     touched = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
     linked = nodes.join(touched, "fp", "left_semi").select(F.col("fp").alias("node"), F.coalesce("label", F.lit(_LAST)).alias("label"))
