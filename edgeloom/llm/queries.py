@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import bpe, fertility, langid, rule_ensemble, secret_scan, simhash, templates, toxicity
+from edgeloom.llm import bpe, fertility, langid, rule_ensemble, secret_scan, simhash, templates, toxicity, warc_zip
 from edgeloom.llm.common import crc_mod, table
 
 
@@ -33,6 +33,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, chain).filter("toxic")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc_zip.write(table(spark, sf_dir, "pages"))
+    return warc_zip.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,5 +64,5 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.assess(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_fertility": op9_fertility}
+QUERIES = {"op1_secrets": op1_secrets, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_fertility": op9_fertility}
 ORACLES: dict[str, str] = {}
