@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import bpe, fertility, langid, rule_ensemble, secret_scan, simhash, templates, toxicity, warc_zip
+from edgeloom.llm import bpe, fertility, langid, licenses, rule_ensemble, secret_scan, simhash, templates, toxicity, warc_zip
 from edgeloom.llm.common import crc_mod, table
 
 
@@ -64,5 +64,9 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.assess(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_fertility": op9_fertility}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_fertility": op9_fertility, "op10_licenses": op10_licenses}
 ORACLES: dict[str, str] = {}
