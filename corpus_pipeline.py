@@ -1,20 +1,52 @@
-"""The corpus pipeline: stages over the documents table, each a training-data operator whose decisions take effect."""
+"""The corpus pipeline: stages over the documents table, each a training-data operator whose decisions take effect.
+
+Every stage takes all rows that its predecessor kept. All but the last return the columns of documents:
+language ID takes out rows whose language is not told; near-duplicates and documents with benchmark items are taken out; secrets are
+replaced; the last stage gives the token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import simhash
-from edgeloom.llm.common import stored, table
+from edgeloom.llm import bpe, langid, secret_scan, simhash, templates
+from edgeloom.llm.common import crc_mod, stored, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that are `und`, or told with too low a score, go. The model learns from the rows whose crc32 of the id modulo 3 is not 1."""
+    return langid.keep_known(docs, langid.fit(docs, crc_mod(docs["doc_id"], 3) != 1))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each SimHash component stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash_near_dedup", near_duplicates)]
-#: SQL has no XXH64 and no tokenizer; the stages are tested against brute force.
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item, re-parameterised or not, go."""
+    return templates.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is replaced by a mark; n_chars is counted anew."""
+    return secret_scan.redact(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids."""
+    found = bpe.encode(docs)
+    return found.selectExpr("doc_id", "cast(size(ids) as bigint) as n_tokens", "ids")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", remove_near_duplicates),
+    ("benchmark_decontamination", remove_benchmark),
+    ("secret_scan", redact_secrets),
+    ("bpe", tokenize),
+]
+#: SQL has neither XXH64 nor a tokenizer; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
