@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import id_and_text, map_batches, stored
+from edgeloom.operators.components import components
 from edgeloom.shipping import ship
 
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 4, 4
@@ -238,27 +239,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-# ---------------------------------------------------------------------------------------------- components
-
-
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """nodes: node (distinct), label; edges: a, b -> node, label: the smallest label of its component.
-
-    Each round takes the smallest (label, node) among the neighbours, then follows it to what that node has found (pointer
-    jumping), so long chains take about log2 of their length. Every round is stored in the shared folder; only whether
-    anything moved comes to the driver.
-    """
-    both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    state = stored(nodes.select("node", F.struct("label", "node").alias("best")))
-    for _ in range(rounds):
-        least = both.join(state.select(F.col("node").alias("v"), "best"), "v").groupBy("u").agg(F.min("best").alias("seen"))
-        step = stored(state.join(least, state["node"] == least["u"], "left").select("node", "best", F.least("best", F.coalesce("seen", "best")).alias("next")))
-        jump = step.select(F.col("node").alias("to"), F.col("next").alias("far"))
-        after = stored(step.join(jump, F.col("next.node") == F.col("to")).select("node", F.least("next", "far").alias("best"), (F.col("next") != F.col("best")).alias("moved")))
-        state = after.select("node", "best")
-        if after.filter("moved").isEmpty():
-            return state.select("node", "best.label")
-    raise RuntimeError("components did not settle")
+# ---------------------------------------------------------------------------------------------- groups
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
