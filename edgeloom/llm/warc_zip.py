@@ -14,23 +14,22 @@ never referred to; repeated rows each have their record, and rows of the smalles
 from __future__ import annotations
 
 import base64
-import contextlib
 import hashlib
 import io
 import json
-import os
 import re
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
-from urllib.parse import quote, unquote, urlsplit
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.files import opened, write_file
 from edgeloom.llm.common import map_batches, shared_dir, stored
 from edgeloom.shipping import ship
 
@@ -43,56 +42,6 @@ _DATE = "2020-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:page:"
 
-# ---------------------------------------------------------------------------------------------- files in any store
-
-
-def write_file(uri: str, data: bytes) -> None:
-    """Appears whole or not at all under a local or mounted path; other stores are left to Arrow's file systems."""
-    path = local_path(uri)
-    if path is None:
-        from pyarrow import fs
-
-        store, at = fs.FileSystem.from_uri(uri)
-        with store.open_output_stream(at) as out:
-            out.write(data)
-        return
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "wb") as out:
-        out.write(data)
-    os.replace(part, path)
-
-
-@contextlib.contextmanager
-def opened(uri: str) -> Iterator[tuple[Callable[[int, int], bytes], int]]:
-    """read(offset, length), and the size, of a file."""
-    path = local_path(uri)
-    if path is None:
-        from pyarrow import fs
-
-        store, at = fs.FileSystem.from_uri(uri)
-        file = store.open_input_file(at)
-        size = file.size()
-    else:
-        file = open(path, "rb")  # noqa: SIM115
-        size = os.path.getsize(path)
-    with file:
-
-        def read(offset: int, length: int) -> bytes:
-            file.seek(offset)
-            data = file.read(length)
-            if len(data) != length:
-                raise ValueError(f"{uri} ends before byte {offset + length}")
-            return data
-
-        yield read, size
-
-
-def local_path(uri: str) -> str | None:
-    parts = urlsplit(uri)
-    return unquote(parts.path) if parts.scheme == "file" else uri if not parts.scheme else None
-
-
 # ---------------------------------------------------------------------------------------------- ZIP directories
 
 _END, _LOCATOR, _END64, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
