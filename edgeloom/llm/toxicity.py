@@ -1,9 +1,11 @@
 """Toxicity by a classifier chain.
 
-The categories are predicted one after another by linear models over the words of the whole text; each model also sees the probabilities that the
+The categories are predicted one after another by linear models over the words of the whole text (each word's share of them); each model also sees the probabilities that the
 earlier ones gave. In training these are out-of-fold predictions, so that a later model learns how the earlier ones do on rows they have not seen.
 Categories before the last are kinds of insult, labelled where a toxic row has one of their seed words; the last is the table's own label.
 
+Only words that toxic rows have more often are features, and weights are not negative: what a text lacks never makes it toxic.
+
 Results: a null or empty text has no words and gets the models' base rates; rows are flagged at THRESHOLD of the last category; labels that are null
 are not learned from, and of several for an id the largest counts; without labels of both classes nothing is flagged.
 """
@@ -11,10 +13,12 @@ are not learned from, and of several for an id the largest counts; without label
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +26,12 @@ from edgeloom.llm.common import id_and_text, map_batches, texts_of
 
 #: Bounds of the sample that is fitted: labelled rows of each class (of least hash of the id), and words that are features.
 ROWS, FEATURES = 3000, 400
-FOLDS, RIDGE, STEPS, THRESHOLD = 3, 1.0, 150, 0.5
+FOLDS, RIDGE, STEPS, THRESHOLD = 3, 0.01, 300, 0.5
 #: A word is a feature from this many rows of the sample on.
 LEAST = 3
 STEM = 5
+#: Share of a text's words at which a term counts in full.
+SHARE = 0.01
 
 #: Kinds of insult and their seed words, in the order of the chain.
 CATEGORIES: dict[str, tuple[str, ...]] = {
@@ -36,11 +42,19 @@ LAST = "toxic"
 _WORD = re.compile(r"\w+")
 
 
-def terms(text: str) -> set[str]:
-    """The words a text has, lower-cased, and the stems (first letters) of the longer ones, each once."""
-    words = set(_WORD.findall(text.lower()))
-    words.update([w[:STEM] + "*" for w in words if len(w) > STEM])
-    return words
+def terms(text: str) -> tuple[Counter, int]:
+    """How often a text has each word, lower-cased, and each stem (first letters) of the longer ones; and its number of words."""
+    words = _WORD.findall(text.lower())
+    counts = Counter(words)
+    for w, n in list(counts.items()):
+        if len(w) > STEM:
+            counts[w[:STEM] + "*"] += n
+    return counts, len(words)
+
+
+def rate(count: int, words: int) -> float:
+    """The value of a term for a text: its share of the words, SHARE or more of them being 1."""
+    return min(1.0, count / (SHARE * max(1, words)))
 
 
 @dataclass
@@ -55,10 +69,12 @@ class Chain:
         out = np.zeros((len(texts), len(self.names)))
         known = self.vocabulary.keys()
         for i, text in enumerate(texts):
-            rows = [self.vocabulary[t] for t in terms(text) & known]
+            counts, words = terms(text)
+            found = counts.keys() & known
+            rows, values = [self.vocabulary[t] for t in found], np.array([rate(counts[t], words) for t in found])
             for k, (w, b) in enumerate(zip(self.weights, self.biases, strict=True)):
                 n = len(self.vocabulary)
-                out[i, k] = 1 / (1 + np.exp(-np.clip(w[rows].sum() + out[i, :k] @ w[n:] + b, -30, 30)))
+                out[i, k] = 1 / (1 + np.exp(-np.clip(w[rows] @ values + out[i, :k] @ w[n:] + b, -30, 30)))
         return out
 
 
@@ -73,7 +89,7 @@ def steepest(x: np.ndarray, weight: np.ndarray) -> float:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by accelerated gradients, the classes weighted alike."""
+    """Ridge logistic regression with weights of 0 at least, by accelerated projected gradients, the classes weighted alike."""
     n, d = x.shape
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
     lip = 0.25 * (steepest(x, weight) + 1) + ridge / max(1, n)
@@ -83,39 +99,51 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = ST
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30)))
         r = weight * (p - y)
-        w2, b2 = v - (x.T @ r + ridge / max(1, n) * v).astype(np.float32) / lip, c - float(r.sum()) / lip
+        w2, b2 = np.maximum(0, v - (x.T @ r + ridge / max(1, n) * v).astype(np.float32) / lip), c - float(r.sum()) / lip
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, c = w2 + np.float32((t - 1) / t2) * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
     return w, b
 
 
-def fit_samples(found: list[set[str]], toxic: np.ndarray, categories: dict[str, tuple[str, ...]] | None = None) -> Chain | None:
+def fit_samples(terms_of: pa.Array, counts: pa.Array, lengths: np.ndarray, toxic: np.ndarray, categories: dict[str, tuple[str, ...]] | None = None) -> Chain | None:
+    """terms_of, counts: lists of each row's terms and how often it has them; lengths: words of each row; toxic: 0 or 1."""
     categories = CATEGORIES if categories is None else categories
-    if len(toxic) == 0 or toxic.min() == toxic.max():
+    n = len(toxic)
+    if n == 0 or toxic.min() == toxic.max():
         return None
-    have: dict[str, list[int]] = {}
-    for words, t in zip(found, toxic, strict=True):
-        for w in words:
-            have.setdefault(w, [0, 0])[int(t)] += 1
-    n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    # the words whose share differs most between the classes, by a two-proportion score; ties go to the first by name
-    scored = sorted(((abs(a / n0 - b / n1) / ((a + b + 1) ** 0.5), w) for w, (a, b) in have.items() if a + b >= LEAST), key=lambda x: (-x[0], x[1]))
-    vocabulary = {w: i for i, (_, w) in enumerate(scored[:FEATURES])}
-    x = np.zeros((len(found), len(vocabulary)), np.float32)
-    for i, words in enumerate(found):
-        x[i, [vocabulary[w] for w in words if w in vocabulary]] = 1
-    names = [*categories, LAST]
-    targets = [np.array([float(t > 0 and not words.isdisjoint(seeds)) for words, t in zip(found, toxic, strict=True)]) for seeds in categories.values()]
+    owner = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(terms_of)))
+    words = terms_of.flatten().dictionary_encode()
+    names, code = words.dictionary, words.indices.to_numpy()
+    n1 = int(toxic.sum())
+    with_1 = np.bincount(code, toxic[owner], len(names))
+    with_0 = np.bincount(code, minlength=len(names)) - with_1
+    # the words whose share is most above that of the other rows, by a two-proportion score; ties go to the first by name
+    score = (with_1 / n1 - with_0 / (n - n1)) / np.sqrt(with_0 + with_1 + 1)
+    able = np.flatnonzero((with_0 + with_1 >= LEAST) & (score > 0))
+    chosen = sorted(((-score[i], names[int(i)].as_py()) for i in able[np.argsort(-score[able], kind="stable")[: 2 * FEATURES]]))[:FEATURES]
+    vocabulary = {w: i for i, (_, w) in enumerate(chosen)}
+    place = np.full(len(names), -1)
+    for i in able:
+        place[i] = vocabulary.get(names[int(i)].as_py(), -1)
+    x = np.zeros((n, len(vocabulary)), np.float32)
+    held = place[code] >= 0
+    x[owner[held], place[code[held]]] = np.minimum(1, counts.flatten().to_numpy()[held] / (SHARE * np.maximum(1, lengths[owner[held]])))
+    targets = []
+    for seeds in categories.values():
+        hit = np.zeros(n, bool)
+        hit[owner[np.asarray(pa.compute.is_in(words.dictionary, pa.array(seeds)))[code]]] = True
+        targets.append((hit & (toxic > 0)).astype(np.float64))
     targets.append(toxic.astype(np.float64))
-    fold = np.arange(len(found)) % FOLDS
-    weights, biases, earlier = [], [], np.zeros((len(found), 0), np.float32)
+    names = [*categories, LAST]
+    fold = np.arange(n) % FOLDS
+    weights, biases, earlier = [], [], np.zeros((n, 0), np.float32)
     for y in targets:
         seen = np.hstack([x, earlier])
         w, b = logistic(seen, y)
         weights.append(w.astype(np.float64))
         biases.append(b)
-        out = np.zeros(len(found), np.float32)
+        out = np.zeros(n, np.float32)
         for k in range(FOLDS):
             fw, fb = logistic(seen[fold != k], y[fold != k])
             out[fold == k] = 1 / (1 + np.exp(-np.clip(seen[fold == k] @ fw + fb, -30, 30)))
@@ -124,7 +152,7 @@ def fit_samples(found: list[set[str]], toxic: np.ndarray, categories: dict[str,
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Chain | None:
-    """A chain of at most ROWS labelled rows of each class for which `learn` (over the labels) holds; their distinct words come to the driver."""
+    """A chain of at most ROWS labelled rows of each class for which `learn` (over the labels) holds; their words' counts come to the driver."""
     known = labels.filter(learn & labels[label_col].isNotNull() & labels[id_col].isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_label"))
     order = [F.xxhash64("_id"), F.col("_id")]
@@ -132,11 +160,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     rows = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select(known["_id"].alias("doc_id"), docs[text_col].alias("text"), "_label")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted(terms(t)) for t in texts_of(batch)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "label", "terms"])
-
-    sample = map_batches(rows, run, "doc_id long, label int, terms array<string>").orderBy(F.xxhash64("doc_id"), "doc_id", "terms").limit(2 * ROWS).toArrow()
-    return fit_samples([set(t.as_py()) for t in sample["terms"]], sample["label"].to_numpy())
+        found = [terms(t) for t in texts_of(batch)]
+        lists = [sorted(c) for c, _ in found]
+        columns = [pa.array(lists, pa.list_(pa.string())), pa.array([[c[t] for t in ts] for ts, (c, _) in zip(lists, found, strict=True)], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int32())]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "label", "terms", "counts", "words"])
+
+    sample = map_batches(rows, run, "doc_id long, label int, terms array<string>, counts array<int>, words int").orderBy(F.xxhash64("doc_id"), "doc_id", "terms", "counts").limit(2 * ROWS).toArrow()
+    sample = sample.combine_chunks()
+    column = lambda name: sample[name].combine_chunks() if sample.num_rows else pa.array([], sample.schema.field(name).type)
+    return fit_samples(column("terms"), column("counts"), sample["words"].to_numpy(), sample["label"].to_numpy())
 
 
 def predict(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
