@@ -6,9 +6,9 @@ Correlated bits are put in one part, so that each part's values spread as widely
 each part its threshold from the candidates estimated from a bounded sample. Each fingerprint is indexed once per part
 and probes every value within t_i bits; what shares a value is verified on all 64 bits.
 
-Distinct fingerprints alone are joined, so exact copies cost nothing. A value shared by more than HOT fingerprints is
-worked off in pairs of blocks, of which each emits a spanning forest of its links (at most one row a member), never all
-pairs. Components come from label propagation with pointer jumping over tables stored in the shared folder.
+Distinct fingerprints alone are joined, so exact copies cost nothing. A value shared by more fingerprints than chance would give (HOT of them, or
+CROWD times what uniform bits have) is worked off in pairs of blocks, of which each emits a spanning forest of its links (at most one
+row a member), never all pairs. Components come from label propagation with pointer jumping over tables stored in the shared folder.
 
 Results: a null or empty text (or one of white space) has fingerprint zero and is linked like any other; an empty table gives
 an empty result; repeated rows are kept, each with its fingerprint; ties of labels cannot occur (labels are ids); null ids
@@ -33,8 +33,8 @@ from edgeloom.shipping import ship
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 4, 4
 #: Fingerprints drawn to estimate how bits correlate and how many candidates a part yields. It bounds what the driver sees; results do not depend on it.
 SAMPLE = 2048
-#: A part value shared by more fingerprints than this is worked off in blocks of this many.
-HOT = 256
+#: A part value shared by more fingerprints than HOT, and than CROWD times what uniform bits would give, is worked off in blocks of BLOCK.
+HOT, CROWD, BLOCK = 16, 4, 1024
 #: What a probe row costs, in verified candidates.
 PROBE_COST = 4.0
 #: Distinct fingerprints that the partition is planned for at least: small inputs get the plan of large ones, so work grows in proportion.
@@ -183,11 +183,12 @@ def _forest(batch_rows: np.ndarray, others: np.ndarray, distance: int) -> list[t
     return out
 
 
-def links(fps: DataFrame, plan: list[tuple[list[int], int]], distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """a, b: links between distinct fingerprints, enough to connect whatever is linked. Values shared by at most `hot` give all their links, larger ones a forest per pair of blocks."""
+def links(fps: DataFrame, plan: list[tuple[list[int], int]], total: int, distance: int = DISTANCE, hot: int = HOT, size: int = BLOCK) -> DataFrame:
+    """a, b: links between the `total` distinct fingerprints, enough to connect whatever is linked. Values that few share give all their links, the others a forest per pair of blocks of about `size`."""
     index = _keyed(fps, plan, probes=False)
     probe = _keyed(fps, plan, probes=True)
-    sizes = index.groupBy("part", "key").count().filter(F.col("count") > hot).withColumn("blocks", F.ceil(F.col("count") / F.lit(hot)).cast("int")).select("part", "key", "blocks")
+    most = F.element_at(F.array(*[F.lit(max(hot, CROWD * total // 2 ** len(bits))) for bits, _ in plan]), F.col("part") + 1)
+    sizes = index.groupBy("part", "key").count().filter(F.col("count") > most).withColumn("blocks", F.ceil(F.col("count") / F.lit(size)).cast("int")).select("part", "key", "blocks")
     sizes = stored(sizes)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     i, p = index.withColumnRenamed("fp", "b"), probe.withColumnRenamed("fp", "a")
@@ -250,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()
     sample = np.array([r[0] for r in seen], np.int64).view(np.uint64)
     plan = plan_parts(sample, max(total, PLANNED_FOR), distance)
-    edges = stored(links(nodes.select("fp"), plan, distance, hot))
+    edges = stored(links(nodes.select("fp"), plan, total, distance, hot))
     touched = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
     linked = nodes.join(touched, "fp", "left_semi").select(F.col("fp").alias("node"), F.coalesce("label", F.lit(_LAST)).alias("label"))
     found = components(linked, edges).select(F.col("node").alias("fp"), F.col("label").alias("reached"))
