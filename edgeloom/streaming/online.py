@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from edgeloom.files import opened, write_file
-from edgeloom.operators.online import Fold
+from edgeloom.operators.online import Fold, fold_rows
 from edgeloom.shipping import ship
 
 STATES = "seq long, gid int, cluster_id int, score double"
@@ -36,8 +36,7 @@ def fold_batch(deltas: DataFrame, batch: int, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = load(folder, batch - 1)
         for rows in batches:
-            out = [fold.step(g, [x for x in (a, f) if x is not None], [] if z is None else [z]) for g, a, f, z in zip(*(rows.column(k).to_pylist() for k in range(1, 5)), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([k for k, _ in out], pa.int32()), pa.array([s for _, s in out], pa.float64())], names=["seq", "gid", "cluster_id", "score"])
+            yield fold_rows(fold, rows)
         write_file(state_path(folder, batch), pickle.dumps(fold))
 
     rows = deltas.select("seq", "gid", "in_chunk", "full_chunk", "out_chunk").repartition(1).sortWithinPartitions("seq")
