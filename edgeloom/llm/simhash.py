@@ -39,6 +39,8 @@ HOT, CROWD, BLOCK = 16, 4, 1024
 PROBE_COST = 4.0
 #: Distinct fingerprints that the partition is planned for at least: small inputs get the plan of large ones, so work grows in proportion.
 PLANNED_FOR = 10_000_000
+#: Fingerprints this near are of one family of copies; of uniform ones, a pair in 500 is.
+FAMILY = 20
 
 _XX = xxhash.xxh64_intdigest
 
@@ -100,12 +102,13 @@ def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
 
 
 def estimates(sample: np.ndarray, part: list[int], most: int, total: int) -> list[float]:
-    """Cost per fingerprint of a part at the thresholds -1 to `most`: its probes, and its candidates among `total` fingerprints as the pairs of the sample have them."""
+    """Cost per fingerprint of a part at the thresholds -1 to `most`: its probes, and its candidates among `total` fingerprints as the pairs of the
+    sample have them. Pairs of one family of copies (FAMILY bits or fewer apart) do not count: they meet in any partition, and are worked off in blocks."""
     mask = np.uint64(sum(1 << b for b in part))
     own, near = sample & mask, np.zeros(BITS + 1, np.int64)
     for at in range(0, len(own), 512):
-        near += np.bincount(np.bitwise_count(own[at : at + 512, None] ^ own[None, :]).ravel(), minlength=BITS + 1)
-    near[0] -= len(own)
+        apart = np.bitwise_count(sample[at : at + 512, None] ^ sample[None, :]) > FAMILY
+        near += np.bincount(np.bitwise_count(own[at : at + 512, None] ^ own[None, :])[apart], minlength=BITS + 1)
     out = [0.0]
     for t in range(most + 1):
         probes = sum(math.comb(len(part), k) for k in range(t + 1))
