@@ -5,7 +5,7 @@ token, the share of its tokens that are byte fallback, and the entropy of its to
 letters have. The base rules (word count, repeated windows) reject first.
 
 Words are what ASCII white space parts. Results: a null or empty text has no words, fails the base and is not kept; texts without
-tokens have measures of 0; texts of fewer than LEAST tokens are not held against the entropy band, which says nothing there. Repeated rows are each measured.
+tokens have measures of 0; texts of fewer tokens than the entropy band begins with are not held against it. Repeated rows are each measured.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ VOCABULARY = "piece_bpe_32k.model"
 WORDS = 400_000
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-LEAST = 64
 _WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -35,17 +34,24 @@ class Band:
     chars_low: float  # characters per token
     chars_high: float
     bytes_high: float  # share of byte-fallback tokens
-    entropy_low: float  # bits per token, over texts of LEAST tokens
+    entropy: tuple[tuple[int, float], ...]  # tokens, and the bits per token that a text of so many has at least; between, by the logarithm of the tokens
 
+    def entropy_low(self, tokens: int) -> float:
+        """0 below the first point: short texts say nothing here."""
+        if tokens < self.entropy[0][0]:
+            return 0.0
+        return float(np.interp(np.log2(tokens), [np.log2(n) for n, _ in self.entropy], [h for _, h in self.entropy]))
 
-#: Bands by script. Byte fallback is normal for scripts that the vocabulary has few pieces of.
+
+#: Bands by script. Entropy grows with a text's length, so its bound does too: texts that are padded with the same marks or words stay below it.
+#: Byte fallback is normal for scripts that the vocabulary has few pieces of, whose bytes also lower the entropy.
 BANDS = {
-    "latin": Band(1.70, 9.0, 0.10, 4.5),
-    "cyrillic": Band(1.0, 8.0, 0.30, 3.5),
-    "greek": Band(0.6, 6.0, 0.60, 3.0),
-    "cjk": Band(0.3, 4.0, 0.90, 3.0),
-    "arabic": Band(0.4, 5.0, 0.70, 3.0),
-    "other": Band(0.2, 6.0, 0.98, 2.5),
+    "latin": Band(1.60, 9.0, 0.10, ((64, 4.6), (80, 4.85), (125, 5.35), (200, 5.5), (320, 5.85), (550, 6.03), (950, 6.2), (1800, 6.33), (3700, 6.46), (8000, 6.55))),
+    "cyrillic": Band(1.0, 8.0, 0.30, ((64, 3.5), (1000, 4.5))),
+    "greek": Band(0.6, 6.0, 0.60, ((64, 3.0), (1000, 4.0))),
+    "cjk": Band(0.3, 4.0, 0.90, ((64, 3.0), (1000, 4.0))),
+    "arabic": Band(0.4, 5.0, 0.70, ((64, 3.0), (1000, 4.0))),
+    "other": Band(0.2, 6.0, 0.98, ((64, 2.5), (1000, 3.0))),
 }
 _SCRIPTS = [
     ("latin", re.compile("[A-Za-z\xaa\xba\xc0-\xd6\xd8-\xf6\xf8-ɏḀ-ỿ]")),
@@ -165,7 +171,7 @@ def _measure(text: str, rows: np.ndarray, table: Pieces, bands: dict[str, Band])
         per, share, entropy = chars / total, float(table.is_byte[ids].sum()) / total, float(-(p * np.log2(p)).sum()) + 0.0
     script = script_of(text)
     band = bands.get(script) or bands["other"]
-    good = band.chars_low <= per <= band.chars_high and share <= band.bytes_high and (total < LEAST or entropy >= band.entropy_low)
+    good = band.chars_low <= per <= band.chars_high and share <= band.bytes_high and entropy >= band.entropy_low(total)
     return n, chars, sum(text.count(c) for c in SYMBOLS), duplicate_lines(text), repeated, failed, bool(not failed and good), script, per, share, entropy
 
 
