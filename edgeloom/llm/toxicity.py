@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.common import id_and_text, map_batches, texts_of
 
-#: Bounds of the sample that is fitted: labelled rows of each class (of least hash of the id), and words that are features.
-ROWS, FEATURES = 3000, 400
-FOLDS, RIDGE, STEPS, THRESHOLD = 3, 0.01, 300, 0.5
+#: Bounds of the sample that is fitted: toxic and other labelled rows (of least hash of the id), and words that are features.
+TOXIC_ROWS, OTHER_ROWS, FEATURES = 1200, 3000, 400
+FOLDS, RIDGE, STEPS, THRESHOLD = 3, 0.01, 300, 0.6
 #: A word is a feature from this many rows of the sample on.
 LEAST = 3
 STEM = 5
@@ -152,11 +152,11 @@ def fit_samples(terms_of: pa.Array, counts: pa.Array, lengths: np.ndarray, toxic
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Chain | None:
-    """A chain of at most ROWS labelled rows of each class for which `learn` (over the labels) holds; their words' counts come to the driver."""
+    """A chain of at most TOXIC_ROWS and OTHER_ROWS labelled rows for which `learn` (over the labels) holds; their words' counts come to the driver."""
     known = labels.filter(learn & labels[label_col].isNotNull() & labels[id_col].isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_label"))
     order = [F.xxhash64("_id"), F.col("_id")]
-    known = known.filter("_label = 1").orderBy(*order).limit(ROWS).unionByName(known.filter("_label = 0").orderBy(*order).limit(ROWS))
+    known = known.filter("_label = 1").orderBy(*order).limit(TOXIC_ROWS).unionByName(known.filter("_label = 0").orderBy(*order).limit(OTHER_ROWS))
     rows = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select(known["_id"].alias("doc_id"), docs[text_col].alias("text"), "_label")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
         columns = [pa.array(lists, pa.list_(pa.string())), pa.array([[c[t] for t in ts] for ts, (c, _) in zip(lists, found, strict=True)], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int32())]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "label", "terms", "counts", "words"])
 
-    sample = map_batches(rows, run, "doc_id long, label int, terms array<string>, counts array<int>, words int").orderBy(F.xxhash64("doc_id"), "doc_id", "terms", "counts").limit(2 * ROWS).toArrow()
+    sample = map_batches(rows, run, "doc_id long, label int, terms array<string>, counts array<int>, words int").orderBy(F.xxhash64("doc_id"), "doc_id", "terms", "counts").limit(2 * (TOXIC_ROWS + OTHER_ROWS)).toArrow()
     sample = sample.combine_chunks()
     column = lambda name: sample[name].combine_chunks() if sample.num_rows else pa.array([], sample.schema.field(name).type)
     return fit_samples(column("terms"), column("counts"), sample["words"].to_numpy(), sample["label"].to_numpy())
