@@ -18,6 +18,7 @@ from edgeloom.operators.ordering import dense_seq
 from edgeloom.plans import oracles as o
 from edgeloom.sources.edges import bootstrap_of_edges, edges_of_events
 from edgeloom.storage import stored
+from edgeloom.streaming import replay
 
 #: Parameters of the queries; the bench takes 1000 components.
 CONFIG = Config(chunk_length=6, sketch_bits=64, bands=16, band_rows=4, max_edges=150, snapshot_interval=1000)
@@ -80,14 +81,16 @@ class Run:
     def simhash(self) -> DataFrame:
         return sketches.simhash_projections(self.vectors, self.vocab, self.config)
 
+    def fold(self) -> online.Fold:
+        return online.start(self.config, self.boot, self.clusters()[1], self.thresholds, GLOBAL_THRESHOLD)
+
     def online(self) -> tuple[DataFrame, DataFrame]:
         """States after each edge, and the scores of the listed graphs before."""
-        config = replace(self.config, max_edges=self.config.max_edges)
         projected, centers = self.clusters()
         boot = self.boot
-        fold = online.start(config, boot, centers, self.thresholds, GLOBAL_THRESHOLD)
-        scores = centroids.train_scores(sketches.sketch_words(projected), boot, centroids.centroid_words(centers), config.sketch_bits)
-        return online.online_clusters(deltas.chunk_deltas(self.test, config), fold), scores
+        fold = online.start(self.config, boot, centers, self.thresholds, GLOBAL_THRESHOLD)
+        scores = centroids.train_scores(sketches.sketch_words(projected), boot, centroids.centroid_words(centers), self.config.sketch_bits)
+        return online.online_clusters(deltas.chunk_deltas(self.test, self.config), fold), scores
 
 
 QUERIES: dict[str, Query] = {}
@@ -379,11 +382,23 @@ def final_projection(run: Run) -> DataFrame:
     return deltas.final_projections(deltas.chunk_deltas(run.test, run.config), run.config)
 
 
+@query(o.of(o.EDGES, o.deltas(C, CONFIG.max_edges), "SELECT seq, gid, n, in_chunk, out_chunk FROM deltas"))
+def streamed_chunk_delta(run: Run) -> DataFrame:
+    """The deltas by Structured Streaming, the edges arriving in several micro-batches."""
+    return replay.streamed_chunk_deltas(run.test, run.config).drop("full_chunk")
+
+
 @query()
 def online_clusters(run: Run) -> DataFrame:
     return run.online()[0]
 
 
+@query()
+def streamed_online_clusters(run: Run) -> DataFrame:
+    """The states of online_clusters by Structured Streaming."""
+    return replay.streamed_online_clusters(run.test, run.fold())
+
+
 @query()
 def cluster_snapshots(run: Run) -> DataFrame:
     states, scores = run.online()

@@ -29,3 +29,11 @@ def test_stream_equals_batch(spark, tmp_path):
     table = again.writeStream.format("memory").queryName("moved").outputMode("append").trigger(availableNow=True).start()
     assert table.awaitTermination(120)
     assert sorted(map(repr, spark.table("moved").select(columns).collect())) == sorted(map(repr, batch.select(columns).collect()))
+
+
+def test_streamed_clusters_equal_the_fold(spark, data):
+    from edgeloom.plans import registry
+
+    batch = registry.QUERIES["online_clusters"](spark, data).collect()
+    streamed = registry.QUERIES["streamed_online_clusters"](spark, data).collect()
+    assert sorted(map(tuple, streamed)) == sorted(map(tuple, batch))
