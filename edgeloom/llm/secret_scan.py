@@ -1,7 +1,7 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
 Candidates are the fixed shapes below (the base) and, beyond them, strings of credential characters that follow a sensitive word
-closely. Each is measured by its marginal compressed bytes: what zstandard, primed with a dictionary of public identifiers and code words,
+closely, private keys, and credentials in addresses. Each is measured by its marginal compressed bytes: what zstandard, primed with a dictionary of public identifiers and code words,
 needs for the surrounding text with the candidate, less what it needs without. Base candidates are always reported, with
 that measure; the others only where a character costs at least BITS bits, so words of prose and code, which the
 dictionary or the surroundings know, are left alone.
@@ -89,25 +89,34 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+#: Where else sensitive strings stand, each with what a text must hold for it: private keys, and credentials in addresses.
+_PLACES = (
+    ("PRIVATE KEY-----", re.compile(r"PRIVATE KEY-----\s{1,8}([A-Za-z0-9+/=\s]{40,20000}?)\s{0,8}-----END")),
+    ("://", re.compile(r"://[^\s:/@]{1,64}:([^\s:/@]{8,128})@")),
+)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], bits: float = BITS, dictionary: str = IDENTIFIERS) -> list[tuple[int, int, str, int]]:
-    """Strings after a sensitive word that neither the dictionary nor the surroundings know."""
+    """Strings in sensitive places that neither the dictionary nor the surroundings know."""
     low = text.lower()
-    if not any(h in low for h in _SENSITIVE_HINT):
-        return []
-    out, taken, k = [], sorted((s, e) for s, e, _ in base), 0
-    for m in _SENSITIVE.finditer(text):
-        s, e = m.span(1)
+    spans = [m.span(1) for m in _SENSITIVE.finditer(text)] if any(h in low for h in _SENSITIVE_HINT) else []
+    for hint, pattern in _PLACES:
+        if hint in text:
+            spans += [m.span(1) for m in pattern.finditer(text)]
+    out, taken, end, k = [], sorted((s, e) for s, e, _ in base), 0, 0
+    for s, e in sorted(spans):
         while k < len(taken) and taken[k][1] <= s:
             k += 1
-        if any(a < e and s < z for a, z in taken[k : k + 8]):
+        if s < end or any(a < e and s < z for a, z in taken[k : k + 8]):
             continue
-        word = m.group(1)
+        word = text[s:e]
         kinds = sum(any(f(c) for c in word) for f in (str.islower, str.isupper, str.isdigit))
         if kinds < 2 or not any(c.isdigit() for c in word):
             continue
         cost = marginal_bytes(text, s, e, dictionary)
         if cost * 8 >= bits * (e - s):
             out.append((s, e, "novel", cost))
+            end = e
     return out
 
 

@@ -59,6 +59,11 @@ def test_novelty_reports_random_strings_and_leaves_words_alone():
     prose = "the session was long and the people who came were told about it in the morning before they left for home. " * 3
     found = secret_scan.findings(f"{prose}\nAuthorization: Bearer {key}\n{prose}")
     assert [(k, s) for s, _, k, _ in found] == [("novel", len(prose) + len("\nAuthorization: Bearer "))]
+    pem = "\n".join("".join(rng.choice(key + "0123456789") for _ in range(64)) for _ in range(6))
+    text = f"{prose}\n-----BEGIN RSA PRIVATE KEY-----\n{pem}\n-----END RSA PRIVATE KEY-----\n"
+    assert [text[s:e] for s, e, k, _ in secret_scan.findings(text) if k == "novel"] == [pem]
+    assert [k for *_, k, _ in secret_scan.findings(f"{prose} postgres://admin:x9Kq2LmP7vRt@db.example.com/main {prose}")] == ["novel"]
+    assert secret_scan.findings(f"{prose} see http://example.com:8080/path/to/page@home and mailto://someone {prose}") == []
     assert secret_scan.findings(prose + "the authorization_configuration: application_configuration_parameter1 and more") == []
     assert secret_scan.findings(prose + "session = requests_session_requests_session_2") == []
     # what stands around a string tells whether it is new
