@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from edgeloom.shipping import ship
 from edgeloom.storage import shared_dir, stored
 
-__all__ = ["BATCH_ROWS", "crc_mod", "id_and_text", "map_batches", "shared_dir", "stored", "table", "texts_of", "tokenizer_path"]
+__all__ = ["BATCH_ROWS", "crc_mod", "id_and_text", "map_batches", "shared_dir", "stored", "table", "texts_of", "tokenizer_path", "without_ids"]
 
 #: Rows of text in an Arrow batch: a worker holds a few batches at a time, so this bounds its memory.
 BATCH_ROWS = 512
@@ -47,6 +47,18 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+#: Ids up to which those to be taken out are sent to every task, instead of shuffling the texts to meet them.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not among the distinct ids (column _id); all columns stay. A null id is an id."""
+    ids = stored(ids)
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), "left_anti")
+
+
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; the folds of the learned operators. A null id falls in no fold (null)."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(n)

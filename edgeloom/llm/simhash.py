@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_and_text, map_batches, stored
+from edgeloom.llm.common import id_and_text, map_batches, stored, without_ids
 from edgeloom.operators.components import components
 from edgeloom.shipping import ship
 
@@ -163,26 +163,16 @@ def _keyed(fps: DataFrame, plan: list[tuple[list[int], int]], probes: bool) -> D
     return fps.select("fp", F.explode(F.flatten(F.array(*rows))).alias("k")).select("fp", "k.part", "k.key")
 
 
-def _forest(batch_rows: np.ndarray, others: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks (the same block twice for the links within one)."""
-    nodes = np.unique(np.concatenate([batch_rows, others]))
-    at = {int(x): i for i, x in enumerate(nodes)}
-    root, out = list(range(len(nodes))), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, x in enumerate(batch_rows):
-        near = others[np.bitwise_count(others ^ x) <= distance]
-        a = find(at[int(x)])
-        for y in near:
-            b = find(at[int(y)])
-            if a != b:
-                root[b] = a
-                out.append((int(x), int(y)))
+def _forest(rows: np.ndarray, others: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two blocks (the same block twice for the links within one). A link is only looked at while it joins two trees, so a dense block costs comparisons of arrays, not of pairs."""
+    nodes = np.unique(np.concatenate([rows, others]))
+    tree, mine, theirs, out = np.arange(len(nodes)), np.searchsorted(nodes, rows), np.searchsorted(nodes, others), []
+    for x, at in zip(rows, mine, strict=True):
+        near = theirs[np.bitwise_count(others ^ x) <= distance]
+        while len(apart := near[tree[near] != tree[at]]):
+            out.append((int(x), int(nodes[apart[0]])))
+            tree[tree == tree[apart[0]]] = tree[at]
+            near = apart
     return out
 
 
@@ -266,9 +256,9 @@ _LAST = (1 << 63) - 1
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group stays (the smallest id; of repeated rows of that id, all)."""
-    found = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["_kept"]), "left_semi")
+    """The rows of docs without those of ids that name no component: one document of each group stays (the smallest id; of repeated rows of that id, all). Rows with a null id stay."""
+    named = near_duplicates(docs, id_col, text_col).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"))
+    return without_ids(docs, named.filter(~F.col("names")).select("_id"), id_col)
 
 
 def fp_hex(fp: Column) -> Column:

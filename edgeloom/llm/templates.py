@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_and_text, map_batches, stored, texts_of
+from edgeloom.llm.common import id_and_text, map_batches, stored, texts_of, without_ids
 
 WINDOW, LEAST, SLOTS = 8, 5, 3
 ENOUGH, COVERED = 13, 0.6
@@ -218,5 +218,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without any benchmark item; all columns stay."""
-    leaks = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leaks")).distinct()
-    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_leaks"]), "left_anti")
+    leaks = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_id")).distinct()
+    return without_ids(docs, leaks, id_col)
