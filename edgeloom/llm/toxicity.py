@@ -78,30 +78,44 @@ class Chain:
         return out
 
 
-def steepest(x: np.ndarray, weight: np.ndarray) -> float:
-    """A bound of the largest eigenvalue of the weighted Gram matrix, by power iteration."""
-    v, value = np.ones(x.shape[1], np.float32), 0.0
-    for _ in range(30):
-        v = x.T @ (weight * (x @ v))
-        value = float(np.linalg.norm(v))
-        v = v / max(value, 1e-12)
-    return 1.1 * value
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression with weights of 0 at least, by accelerated projected gradients, the classes weighted alike."""
-    n, d = x.shape
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
-    lip = 0.25 * (steepest(x, weight) + 1) + ridge / max(1, n)
-    w = v = np.zeros(d, np.float32)
+@dataclass
+class Sparse:
+    """A matrix by its values that are not zero."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    values: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * v[self.cols], self.shape[0])
+
+    def transposed_times(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cols, self.values * r[self.rows], self.shape[1])
+
+    def with_column(self, column: np.ndarray) -> Sparse:
+        n, d = self.shape
+        return Sparse(np.concatenate([self.rows, np.arange(n)]), np.concatenate([self.cols, np.full(n, d)]), np.concatenate([self.values, column]), (n, d + 1))
+
+
+def logistic(x: Sparse, y: np.ndarray, among: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression with weights of 0 at least, by accelerated projected gradients, over the rows `among`, the classes weighted alike."""
+    weight = among * np.where(y > 0, 0.5 / max(1, (among & (y > 0)).sum()), 0.5 / max(1, (among & (y <= 0)).sum()))
+    top, v = 0.0, np.ones(x.shape[1])
+    for _ in range(30):  # power iteration for the largest eigenvalue of the weighted Gram matrix
+        v = x.transposed_times(weight * x.times(v))
+        top = float(np.linalg.norm(v))
+        v = v / max(top, 1e-12)
+    ridge = ridge / max(1, among.sum())
+    lip = 0.25 * (1.1 * top + 1) + ridge
+    w = v = np.zeros(x.shape[1])
     b = c = 0.0
     t = 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30)))
-        r = weight * (p - y)
-        w2, b2 = np.maximum(0, v - (x.T @ r + ridge / max(1, n) * v).astype(np.float32) / lip), c - float(r.sum()) / lip
+        r = weight * (1 / (1 + np.exp(-np.clip(x.times(v) + c, -30, 30))) - y)
+        w2, b2 = np.maximum(0, v - (x.transposed_times(r) + ridge * v) / lip), c - float(r.sum()) / lip
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        v, c = w2 + np.float32((t - 1) / t2) * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
+        v, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
     return w, b
 
@@ -126,9 +140,8 @@ def fit_samples(terms_of: pa.Array, counts: pa.Array, lengths: np.ndarray, toxic
     place = np.full(len(names), -1)
     for i in able:
         place[i] = vocabulary.get(names[int(i)].as_py(), -1)
-    x = np.zeros((n, len(vocabulary)), np.float32)
     held = place[code] >= 0
-    x[owner[held], place[code[held]]] = np.minimum(1, counts.flatten().to_numpy()[held] / (SHARE * np.maximum(1, lengths[owner[held]])))
+    x = Sparse(owner[held], place[code[held]], np.minimum(1, counts.flatten().to_numpy()[held] / (SHARE * np.maximum(1, lengths[owner[held]]))), (n, len(vocabulary)))
     targets = []
     for seeds in categories.values():
         hit = np.zeros(n, bool)
@@ -137,17 +150,16 @@ def fit_samples(terms_of: pa.Array, counts: pa.Array, lengths: np.ndarray, toxic
     targets.append(toxic.astype(np.float64))
     names = [*categories, LAST]
     fold = np.arange(n) % FOLDS
-    weights, biases, earlier = [], [], np.zeros((n, 0), np.float32)
+    weights, biases, every = [], [], np.ones(n, bool)
     for y in targets:
-        seen = np.hstack([x, earlier])
-        w, b = logistic(seen, y)
-        weights.append(w.astype(np.float64))
+        w, b = logistic(x, y, every)
+        weights.append(w)
         biases.append(b)
-        out = np.zeros(n, np.float32)
+        out = np.zeros(n)
         for k in range(FOLDS):
-            fw, fb = logistic(seen[fold != k], y[fold != k])
-            out[fold == k] = 1 / (1 + np.exp(-np.clip(seen[fold == k] @ fw + fb, -30, 30)))
-        earlier = np.hstack([earlier, out[:, None]])
+            fw, fb = logistic(x, y, fold != k)
+            out[fold == k] = (1 / (1 + np.exp(-np.clip(x.times(fw) + fb, -30, 30))))[fold == k]
+        x = x.with_column(out)
     return Chain(names, vocabulary, weights, biases)
 
 
