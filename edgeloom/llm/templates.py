@@ -6,6 +6,9 @@ benchmark; what the placeholders stand for must be consistent along an alignment
 the document), so a question with other numbers and names is found, and chance meetings of templates are not. A filter of
 fixed size over the benchmark's hashes decides which windows of a document leave its task at all.
 
+A capitalised word that begins a sentence is a word in one form of a template and a name in another, unless it is one of STARTERS, as no
+capital tells which it is; windows of either form meet those of either.
+
 An item is reported for a document if at least ENOUGH of its words, or the share COVERED of them, lie in such windows. Windows with more than
 SLOTS placeholders say too little and count as they are only. Items of fewer words than a window are one window; those under LEAST
 words cannot be told from chance and are left out.
@@ -37,11 +40,15 @@ SALTS = 16
 #: Words for numbers and units.
 NUMBER_WORDS = frozenset("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 UNIT_WORDS = frozenset("mm cm km kg mg lb lbs oz ml mph kph inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters gram grams kilogram kilograms pound pounds ounce ounces ton tons liter liters litre litres gallon gallons hour hours minute minutes seconds day days week weeks month months year years dollar dollars euro euros cent cents percent degrees watts volts joules newtons".split())
+#: Words that begin sentences and are no names.
+STARTERS = frozenset("the a an this that these those it its he she they we you i his her their our your my there here what who whom whose which when where why how if in on at by for from to of with and but or so as is are was were do does did can could would should has have had not no all each every some many most after before then while during since because although however thus der die das den dem des ein eine einen einem einer eines er sie es wir ihr ich du was wer wen wem wie wo wann warum welche welcher welches wenn und oder aber in im am an auf aus bei mit nach von vom zu zum zur für durch ist sind war waren hat haben nicht kein keine alle jede jeder jedes dann le la les l un une des du de il elle ils elles on nous vous je tu ce cet cette ces que qui quoi quel quelle quels quelles quand où pourquoi comment combien si et ou mais dans en sur par pour avec est sont a ont ne pas tous chaque el los las uno una unos unas lo yo él ella ellos nosotros este esta estos estas qué quién cuál cuándo dónde cómo cuánto cuántos cuántas si y o pero en con por para es son fue tiene no todos cada".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
 _QUANTITY = re.compile(r"[+-]?[$€£]?\d[\d.,]*(?:%s)" % "|".join(sorted(UNIT_WORDS, key=len, reverse=True)))
 _EDGES = re.compile(r"^[^\w$€£+-]+|[^\w%]+$|^[+-]+(?!\d)|^\W+$")
 _ENDS = re.compile(r"[.!?:][\"'”’)\]]*$")
 NONE, PLAIN, NUMBER, QUANTITY, UNIT, CAPITAL = range(6)
+#: Forms of a window: as it is, a template, a template in which a sentence begins with a name.
+AS_IS, TEMPLATE, BEGUN = FORMS = (0, 1, 3)
 _CODE = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>", 11)) for k in (NUMBER, QUANTITY, UNIT, CAPITAL)}
 _FACTORS = np.array([xxhash.xxh64_intdigest(str(i), 12) | 1 for i in range(WINDOW)], np.uint64)
 
@@ -65,13 +72,14 @@ def classify(word: str) -> tuple[str, int, bool]:
 
 
 class Table(dict):
-    """word -> row of its code, kind and whether it ends a sentence; worked out once when it first comes."""
+    """word -> row of its code, kind, whether it ends a sentence and whether it is one of STARTERS; worked out once when it first comes."""
 
     def __init__(self):
         self.codes: list[int] = []
         self.kinds: list[int] = []
         self.ends: list[bool] = []
-        self.arrays = (np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool))
+        self.starters: list[bool] = []
+        self.arrays = (np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(0, bool))
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self)
@@ -79,12 +87,13 @@ class Table(dict):
         self.codes.append(xxhash.xxh64_intdigest(core, 13))
         self.kinds.append(kind)
         self.ends.append(ends)
+        self.starters.append(core in STARTERS)
         return at
 
-    def settled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def settled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         done = len(self.arrays[0])
         if done < len(self):
-            more = (np.array(self.codes[done:], np.uint64), np.array(self.kinds[done:], np.int8), np.array(self.ends[done:], bool))
+            more = (np.array(self.codes[done:], np.uint64), np.array(self.kinds[done:], np.int8), np.array(self.ends[done:], bool), np.array(self.starters[done:], bool))
             self.arrays = tuple(np.concatenate(x) for x in zip(self.arrays, more, strict=True))
         return self.arrays
 
@@ -101,16 +110,18 @@ def split_all(texts: list[str]) -> list[tuple[list[bytes], np.ndarray]]:
     return [(w, np.fromiter(map(_table.__getitem__, w), np.int64, len(w))) for w in words]
 
 
-def tokens_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words that have a core: which they are, their codes as they are, their codes in templates, and which are slots."""
-    codes, kinds, ends = (a[rows] for a in _table.settled())
+def tokens_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words that have a core: which they are, their codes as they are, their codes in templates, their kinds, which are slots, and which begin a sentence and may be names."""
+    codes, kinds, ends, starters = (a[rows] for a in _table.settled())
     before = np.concatenate(([True], ends[:-1]))
-    slot = (kinds >= NUMBER) & ~((kinds == CAPITAL) & before)
+    begun = (kinds == CAPITAL) & before
+    slot = (kinds >= NUMBER) & ~begun
+    begun &= ~starters
     shaped = codes.copy()
     for k, code in _CODE.items():
         shaped[slot & (kinds == k)] = code
     real = np.flatnonzero(kinds != NONE)
-    return real, codes[real], shaped[real], slot[real]
+    return real, codes[real], shaped[real], kinds[real], slot[real], begun[real]
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -124,32 +135,36 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return out * np.uint64(0x9E3779B97F4A7C15)
 
 
-def windows_of(rows: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """position, width, template (or as it is) and hash of every window; then which words have cores, and which of these are slots."""
-    real, plain, shaped, slot = tokens_of(rows)
+def windows_of(rows: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """position, width, form and hash of every window; then which words have cores, their kinds, and which of these are slots (2: of BEGUN alone)."""
+    real, plain, shaped, kinds, slot, begun = tokens_of(rows)
     filled = np.concatenate(([0], np.cumsum(slot)))
+    starts = np.concatenate(([0], np.cumsum(begun)))
+    named = np.where(begun, _CODE[CAPITAL], shaped)
     found = []
     for width in widths:
         n = len(real) - width + 1
         if n > 0:
-            found.append((np.arange(n), np.full(n, width), np.zeros(n, bool), window_hashes(plain, width)))
-            slots = filled[width:] - filled[:-width]
-            few = np.flatnonzero((slots > 0) & (slots <= SLOTS))
-            if len(few):
-                found.append((few, np.full(len(few), width), np.ones(len(few), bool), window_hashes(shaped, width)[few] ^ np.uint64(1)))
+            found.append((np.arange(n), np.full(n, width), np.zeros(n, np.int8), window_hashes(plain, width)))
+            slots, names = filled[width:] - filled[:-width], starts[width:] - starts[:-width]
+            for form, codes, held in ((TEMPLATE, shaped, (slots > 0) & (slots <= SLOTS)), (BEGUN, named, (names > 0) & (slots + names <= SLOTS))):
+                at = np.flatnonzero(held)
+                if len(at):
+                    found.append((at, np.full(len(at), width), np.full(len(at), form, np.int8), window_hashes(codes, width)[at] ^ np.uint64(1)))
+    kinds_of = slot + 2 * begun.astype(np.int8)
     if not found:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(bool), none.astype(np.uint64), real, slot
-    return *(np.concatenate(x) for x in zip(*found, strict=True)), real, slot
+        return none, none, none.astype(np.int8), none.astype(np.uint64), real, kinds, kinds_of
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), real, kinds, kinds_of
 
 
-_HIT = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("width", pa.int32()), ("template", pa.bool_()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("n_tokens", pa.int32())])
-_HIT_SQL = "id long, pos int, width int, template boolean, hash long, slots array<string>, n_tokens int"
+_HIT = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("width", pa.int32()), ("form", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("n_tokens", pa.int32())])
+_HIT_SQL = "id long, pos int, width int, form int, hash long, slots array<string>, n_tokens int"
 
 
 def _hits(ids: list, texts: list[str], widths: list[int] | None, wanted) -> pa.RecordBatch | None:
     """The windows whose hash is wanted; widths of None: those of an item (a short item is one window)."""
-    out = ([], [], [], [], [], [], [])
+    out = tuple([] for _ in _HIT)
     for own, (words, rows) in zip(ids, split_all(texts), strict=True):
         if not len(rows):
             continue
@@ -157,11 +172,12 @@ def _hits(ids: list, texts: list[str], widths: list[int] | None, wanted) -> pa.R
             n = int((_table.settled()[1][rows] != NONE).sum())
             if n < LEAST:
                 continue
-        pos, width, template, hashes, real, slot = windows_of(rows, widths or [min(n, WINDOW)])
+        pos, width, form, hashes, real, kinds, slot = windows_of(rows, widths or [min(n, WINDOW)])
         for i in np.flatnonzero(wanted(hashes)) if wanted else range(len(hashes)):
-            p, w = int(pos[i]), int(width[i])
-            slots = [classify(words[real[p + k]].decode("utf-8", "replace"))[0] for k in range(w) if slot[p + k]] if template[i] else []
-            for column, value in zip(out, (own, p, w, bool(template[i]), int(hashes[i].view(np.int64)), slots, len(real)), strict=True):
+            p, w, f = int(pos[i]), int(width[i]), int(form[i])
+            at = [p + k for k in range(w) if slot[p + k] == 1 or (slot[p + k] and f == BEGUN)] if f else []
+            slots = [classify(words[real[k]].decode("utf-8", "replace"))[0] for k in at]
+            for column, value in zip(out, (own, p, w, f, int(hashes[i].view(np.int64)), slots, len(real)), strict=True):
                 column.append(value)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _HIT, strict=True)], schema=_HIT) if out[0] else None
 
@@ -193,23 +209,29 @@ def document_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id"
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", enough: int = ENOUGH, covered: float = COVERED) -> DataFrame:
     """doc_id, item_id, matched_words, item_words, coverage, exact (all of it as it is, without other slot values): each benchmark item that a document has."""
     items = stored(benchmark_windows(benchmark, item_col))
-    hits = document_windows(docs, items, id_col, text_col).select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "hash", "width", "template", F.col("slots").alias("values"))
-    known = items.select(F.col("id").alias("item_id"), "pos", "hash", "width", "template", "slots", "n_tokens")
-    keys = ["hash", "width", "template"]
+    shaped = (F.col("form") > AS_IS).alias("shaped")
+    hits = document_windows(docs, items, id_col, text_col).select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "hash", "width", shaped, F.col("form").alias("own_form"), F.col("slots").alias("values"))
+    known = items.select(F.col("id").alias("item_id"), "pos", "hash", "width", shaped, "form", "slots", "n_tokens")
+    keys = ["hash", "width", "shaped"]
     if items.count() <= BROADCAST:
         met = hits.join(F.broadcast(known), keys)
     else:
         salt = F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")
         met = hits.withColumn("salt", salt).join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"])
+    met = met.withColumn("form", F.greatest("form", "own_form"))
     pairs = F.arrays_zip(F.col("slots"), F.col("values"))
     along = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("shift"), "n_tokens").agg(
-        F.collect_set(F.when(~F.col("template"), F.struct("pos", "width"))).alias("plain"),
-        F.collect_set(F.when(F.col("template"), F.struct("pos", "width"))).alias("shaped"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("template"), pairs)))).alias("pairs"),
+        *(F.collect_set(F.when(F.col("form") == f, F.struct("pos", "width"))).alias(f"spans_{f}") for f in FORMS),
+        *(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("form") == f, pairs)))).alias(f"pairs_{f}") for f in FORMS[1:]),
     )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"])))
     spread = lambda spans: F.flatten(F.transform(spans, lambda s: F.sequence(s["pos"], s["pos"] + s["width"] - 1)))
-    along = along.select("doc_id", "item_id", "n_tokens", spread(F.col("plain")).alias("plain"), F.when(consistent, spread(F.col("shaped"))).otherwise(F.array().cast("array<int>")).alias("shaped"))
+    # a form's windows count if what they and those of the forms before stand for is consistent: a stricter form is never undone by a looser one
+    known_pairs, words = None, []
+    for f in FORMS[1:]:
+        known_pairs = F.col(f"pairs_{f}") if known_pairs is None else F.array_union(known_pairs, F.col(f"pairs_{f}"))
+        consistent = F.size(known_pairs) == F.size(F.array_distinct(F.transform(known_pairs, lambda p: p["slots"])))
+        words.append(F.when(consistent, spread(F.col(f"spans_{f}"))).otherwise(F.array().cast("array<int>")))
+    along = along.select("doc_id", "item_id", "n_tokens", spread(F.col(f"spans_{AS_IS}")).alias("plain"), F.concat(*words).alias("shaped"))
     found = along.groupBy("doc_id", "item_id", "n_tokens").agg(F.array_distinct(F.flatten(F.collect_list("plain"))).alias("plain"), F.array_distinct(F.flatten(F.collect_list("shaped"))).alias("shaped"))
     found = found.select("doc_id", "item_id", F.size(F.array_union("plain", "shaped")).alias("matched_words"), F.col("n_tokens").alias("item_words"), F.size("plain").alias("_plain"))
     share = F.col("matched_words") / F.col("item_words")

@@ -337,6 +337,13 @@ def test_decontamination_edge_cases(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
 
 
+def test_renamed_people_at_sentence_starts(spark):
+    item = "Nina brought the old red bicycle to the market in the morning. Tom paid for the bicycle with a bag of silver coins. Nina went home along the river before it was dark."
+    doc = item.replace("Nina", "Paula").replace("Tom", "Erik")
+    found = leaks(spark, [f"some words before. {doc} and after", "Paris is the capital of France"], [item, "What is the capital of Spain?"])
+    assert found.keys() == {(0, 0)} and found[0, 0]["matched_words"] == found[0, 0]["item_words"] and not found[0, 0]["exact"]
+
+
 # ---------------------------------------------------------------------------------------------- pipeline
 
 
