@@ -9,8 +9,9 @@ fixed size over the benchmark's hashes decides which windows of a document leave
 A capitalised word that begins a sentence is a word in one form of a template and a name in another, unless it is one of STARTERS, as no
 capital tells which it is; windows of either form meet those of either.
 
-An item is reported for a document if at least ENOUGH of its words, or the share COVERED of them, lie in such windows. Windows with more than
-SLOTS placeholders say too little and count as they are only. Items of fewer words than a window are one window; those under LEAST
+An item is reported for a document if at least ENOUGH of its words, or the share COVERED of them, lie in such windows. A window with more than
+SLOTS placeholders says little alone: it needs FIXED words that are none, and such windows count where an alignment has as many words besides names as a window
+with SLOTS of them. Items of fewer words than a window are one window; those under LEAST
 words cannot be told from chance and are left out.
 
 Results: null and empty texts match nothing; rows with one id (the null id too) are one document; repeated items are each reported; ties do not occur,
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.common import id_and_text, map_batches, stored, texts_of, without_ids
 
-WINDOW, LEAST, SLOTS = 8, 5, 3
+WINDOW, LEAST, SLOTS, FIXED = 8, 5, 3, 2
 ENOUGH, COVERED = 13, 0.6
 #: Bits of the filter, whatever the benchmark's size; and windows up to which the benchmark is sent to every task instead of being shuffled.
 FILTER_BITS, BROADCAST = 1 << 24, 200_000
@@ -47,8 +48,9 @@ _QUANTITY = re.compile(r"[+-]?[$€£]?\d[\d.,]*(?:%s)" % "|".join(sorted(UNIT_W
 _EDGES = re.compile(r"^[^\w$€£+-]+|[^\w%]+$|^[+-]+(?!\d)|^\W+$")
 _ENDS = re.compile(r"[.!?:][\"'”’)\]]*$")
 NONE, PLAIN, NUMBER, QUANTITY, UNIT, CAPITAL = range(6)
-#: Forms of a window: as it is, a template, a template in which a sentence begins with a name.
-AS_IS, TEMPLATE, BEGUN = FORMS = (0, 1, 3)
+#: Forms of a window: as it is, a template, a template in which a sentence begins with a name, either of them with more than SLOTS placeholders.
+AS_IS, TEMPLATE, BEGUN, RICH = FORMS = (0, 1, 2, 3)
+_RICH_BEGUN = 4
 _CODE = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>", 11)) for k in (NUMBER, QUANTITY, UNIT, CAPITAL)}
 _FACTORS = np.array([xxhash.xxh64_intdigest(str(i), 12) | 1 for i in range(WINDOW)], np.uint64)
 
@@ -136,7 +138,7 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def windows_of(rows: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """position, width, form and hash of every window; then which words have cores, their kinds, and which of these are slots (2: of BEGUN alone)."""
+    """position, width, form and hash of every window; then which words have cores, their kinds, and which of these are slots (2: where a sentence begins with a name)."""
     real, plain, shaped, kinds, slot, begun = tokens_of(rows)
     filled = np.concatenate(([0], np.cumsum(slot)))
     starts = np.concatenate(([0], np.cumsum(begun)))
@@ -147,10 +149,10 @@ def windows_of(rows: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndar
         if n > 0:
             found.append((np.arange(n), np.full(n, width), np.zeros(n, np.int8), window_hashes(plain, width)))
             slots, names = filled[width:] - filled[:-width], starts[width:] - starts[:-width]
-            for form, codes, held in ((TEMPLATE, shaped, (slots > 0) & (slots <= SLOTS)), (BEGUN, named, (names > 0) & (slots + names <= SLOTS))):
-                at = np.flatnonzero(held)
+            for form, rich, codes, held, any_held in ((TEMPLATE, RICH, shaped, slots, slots > 0), (BEGUN, _RICH_BEGUN, named, slots + names, names > 0)):
+                at = np.flatnonzero(any_held & ((held <= SLOTS) | (held <= width - FIXED)))
                 if len(at):
-                    found.append((at, np.full(len(at), width), np.full(len(at), form, np.int8), window_hashes(codes, width)[at] ^ np.uint64(1)))
+                    found.append((at, np.full(len(at), width), np.where(held[at] <= SLOTS, form, rich).astype(np.int8), window_hashes(codes, width)[at] ^ np.uint64(1)))
     kinds_of = slot + 2 * begun.astype(np.int8)
     if not found:
         none = np.zeros(0, np.int64)
@@ -158,8 +160,8 @@ def windows_of(rows: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndar
     return *(np.concatenate(x) for x in zip(*found, strict=True)), real, kinds, kinds_of
 
 
-_HIT = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("width", pa.int32()), ("form", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("n_tokens", pa.int32())])
-_HIT_SQL = "id long, pos int, width int, form int, hash long, slots array<string>, n_tokens int"
+_HIT = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("width", pa.int32()), ("form", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("names", pa.list_(pa.int32())), ("n_tokens", pa.int32())])
+_HIT_SQL = "id long, pos int, width int, form int, hash long, slots array<string>, names array<int>, n_tokens int"
 
 
 def _hits(ids: list, texts: list[str], widths: list[int] | None, wanted) -> pa.RecordBatch | None:
@@ -175,9 +177,10 @@ def _hits(ids: list, texts: list[str], widths: list[int] | None, wanted) -> pa.R
         pos, width, form, hashes, real, kinds, slot = windows_of(rows, widths or [min(n, WINDOW)])
         for i in np.flatnonzero(wanted(hashes)) if wanted else range(len(hashes)):
             p, w, f = int(pos[i]), int(width[i]), int(form[i])
-            at = [p + k for k in range(w) if slot[p + k] == 1 or (slot[p + k] and f == BEGUN)] if f else []
+            at = [p + k for k in range(w) if slot[p + k] == 1 or (slot[p + k] and f in (BEGUN, _RICH_BEGUN))] if f else []
+            names = [k for k in at if kinds[k] == CAPITAL]
             slots = [classify(words[real[k]].decode("utf-8", "replace"))[0] for k in at]
-            for column, value in zip(out, (own, p, w, f, int(hashes[i].view(np.int64)), slots, len(real)), strict=True):
+            for column, value in zip(out, (own, p, w, min(f, RICH), int(hashes[i].view(np.int64)), slots, names, len(real)), strict=True):
                 column.append(value)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _HIT, strict=True)], schema=_HIT) if out[0] else None
 
@@ -211,7 +214,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = stored(benchmark_windows(benchmark, item_col))
     shaped = (F.col("form") > AS_IS).alias("shaped")
     hits = document_windows(docs, items, id_col, text_col).select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "hash", "width", shaped, F.col("form").alias("own_form"), F.col("slots").alias("values"))
-    known = items.select(F.col("id").alias("item_id"), "pos", "hash", "width", shaped, "form", "slots", "n_tokens")
+    known = items.select(F.col("id").alias("item_id"), "pos", "hash", "width", shaped, "form", "slots", "names", "n_tokens")
     keys = ["hash", "width", "shaped"]
     if items.count() <= BROADCAST:
         met = hits.join(F.broadcast(known), keys)
@@ -223,14 +226,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     along = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("shift"), "n_tokens").agg(
         *(F.collect_set(F.when(F.col("form") == f, F.struct("pos", "width"))).alias(f"spans_{f}") for f in FORMS),
         *(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("form") == f, pairs)))).alias(f"pairs_{f}") for f in FORMS[1:]),
+        F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"),
     )
     spread = lambda spans: F.flatten(F.transform(spans, lambda s: F.sequence(s["pos"], s["pos"] + s["width"] - 1)))
     # a form's windows count if what they and those of the forms before stand for is consistent: a stricter form is never undone by a looser one
+    told = F.size(F.array_except(F.array_distinct(F.concat(*(spread(F.col(f"spans_{f}")) for f in FORMS))), "names")) >= F.least(F.lit(WINDOW), "n_tokens") - SLOTS
     known_pairs, words = None, []
     for f in FORMS[1:]:
         known_pairs = F.col(f"pairs_{f}") if known_pairs is None else F.array_union(known_pairs, F.col(f"pairs_{f}"))
         consistent = F.size(known_pairs) == F.size(F.array_distinct(F.transform(known_pairs, lambda p: p["slots"])))
-        words.append(F.when(consistent, spread(F.col(f"spans_{f}"))).otherwise(F.array().cast("array<int>")))
+        words.append(F.when(consistent & told if f == RICH else consistent, spread(F.col(f"spans_{f}"))).otherwise(F.array().cast("array<int>")))
     along = along.select("doc_id", "item_id", "n_tokens", spread(F.col(f"spans_{AS_IS}")).alias("plain"), F.concat(*words).alias("shaped"))
     found = along.groupBy("doc_id", "item_id", "n_tokens").agg(F.array_distinct(F.flatten(F.collect_list("plain"))).alias("plain"), F.array_distinct(F.flatten(F.collect_list("shaped"))).alias("shaped"))
     found = found.select("doc_id", "item_id", F.size(F.array_union("plain", "shaped")).alias("matched_words"), F.col("n_tokens").alias("item_words"), F.size("plain").alias("_plain"))

@@ -344,6 +344,13 @@ def test_renamed_people_at_sentence_starts(spark):
     assert found.keys() == {(0, 0)} and found[0, 0]["matched_words"] == found[0, 0]["item_words"] and not found[0, 0]["exact"]
 
 
+def test_questions_rich_in_numbers_and_names(spark):
+    items = ["A train goes 60 miles in 2 hours, then 45 miles in 3 hours, then 30 miles in 1 hours. What is its speed?", "Tom has 5 red marbles. Anna gives Tom 7 more marbles. Tom loses 2 marbles. How many marbles does Tom have now?", "Der Bauer kauft am Montag 12 Kisten Birnen und 4 Kisten Trauben vom Markt in Ulm und gibt dem Nachbarn 3 Birnen."]
+    docs = [items[0].translate(str.maketrans("645321", "879467")), items[1].replace("Tom", "Ben").replace("Anna", "Lucy").translate(str.maketrans("572", "864")), items[2].replace("Bauer", "Maler").replace("Birnen", "Nüsse").replace("12", "31"), items[1].replace("Tom", "Ben", 1).replace("Tom", "Lea", 1).replace("marbles", "coins"), "Anna Berg und Tom Hill 5 6 7 8 Ulm Bonn in Rom Wien 9"]
+    found = leaks(spark, docs, items)
+    assert found.keys() == {(0, 0), (1, 1), (2, 2)} and all(r["coverage"] == 1.0 and not r["exact"] for r in found.values())
+
+
 # ---------------------------------------------------------------------------------------------- pipeline
 
 
