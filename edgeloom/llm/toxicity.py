@@ -4,6 +4,9 @@ The categories are predicted one after another by linear models over the words o
 earlier ones gave. In training these are out-of-fold predictions, so that a later model learns how the earlier ones do on rows they have not seen.
 Categories before the last are kinds of insult, labelled where a toxic row has one of their seed words; the last is the table's own label.
 
+A longer text is scored by overlapping parts of PART words, and has the probabilities of the part whose last one is the largest, so what stands round a passage
+never hides it.
+
 Only words that toxic rows have more often are features, and weights are not negative: what a text lacks never makes it toxic.
 
 Results: a null or empty text has no words and gets the models' base rates; rows are flagged at THRESHOLD of the last category; labels that are null
@@ -30,6 +33,8 @@ FOLDS, RIDGE, STEPS, THRESHOLD = 3, 0.01, 300, 0.6
 #: A word is a feature from this many rows of the sample on.
 LEAST = 3
 STEM = 5
+#: Words of a part of a text that is scored by itself; the next begins half of them on.
+PART = 300
 #: Share of a text's words at which a term counts in full.
 SHARE = 0.01
 
@@ -44,7 +49,17 @@ _WORD = re.compile(r"\w+")
 
 def terms(text: str) -> tuple[Counter, int]:
     """How often a text has each word, lower-cased, and each stem (first letters) of the longer ones; and its number of words."""
+    return terms_of_words(_WORD.findall(text.lower()))
+
+
+def parts(text: str) -> list[list[str]]:
+    """The words of a text, in overlapping parts of PART of them; the last ends with the text."""
     words = _WORD.findall(text.lower())
+    last = max(0, len(words) - PART)
+    return [words[at : at + PART] for at in (*range(0, last, PART // 2), last)]
+
+
+def terms_of_words(words: list[str]) -> tuple[Counter, int]:
     counts = Counter(words)
     for w, n in list(counts.items()):
         if len(w) > STEM:
@@ -66,15 +81,14 @@ class Chain:
 
     def predict(self, texts: list[str]) -> np.ndarray:
         """Probabilities, texts by categories."""
-        out = np.zeros((len(texts), len(self.names)))
-        known = self.vocabulary.keys()
-        for i, text in enumerate(texts):
-            counts, words = terms(text)
-            found = counts.keys() & known
-            rows, values = [self.vocabulary[t] for t in found], np.array([rate(counts[t], words) for t in found])
-            for k, (w, b) in enumerate(zip(self.weights, self.biases, strict=True)):
-                n = len(self.vocabulary)
-                out[i, k] = 1 / (1 + np.exp(-np.clip(w[rows] @ values + out[i, :k] @ w[n:] + b, -30, 30)))
+        return np.array([max((self._predict(*terms_of_words(words)) for words in parts(text)), key=lambda p: p[-1]) for text in texts]).reshape(len(texts), len(self.names))
+
+    def _predict(self, counts: Counter, words: int) -> np.ndarray:
+        out, n = np.zeros(len(self.names)), len(self.vocabulary)
+        found = counts.keys() & self.vocabulary.keys()
+        rows, values = [self.vocabulary[t] for t in found], np.array([rate(counts[t], words) for t in found])
+        for k, (w, b) in enumerate(zip(self.weights, self.biases, strict=True)):
+            out[k] = 1 / (1 + np.exp(-np.clip(w[rows] @ values + out[:k] @ w[n:] + b, -30, 30)))
         return out
 
 

@@ -282,6 +282,17 @@ def test_toxicity_chain(spark):
     assert not any(r["toxic"] for r in toxicity.predict(odd, None).collect())
 
 
+def test_length_never_hides_a_toxic_passage(spark):
+    docs, labels = toxic_corpus(spark)
+    chain = toxicity.fit(docs, labels, F.lit(True))
+    rng = random.Random(9)
+    clean = lambda n: " ".join(rng.choice(["river", "stone", "morning", "paper", "window", "garden"]) for _ in range(n))
+    passage = f"{clean(4)} idiot {clean(5)} scum {clean(4)} idiot {clean(3)} trash {clean(5)}"
+    texts = [f"{clean(a)} {passage} {clean(z)}" for a, z in ((0, 0), (500, 0), (0, 1000), (149, 5000), (2500, 2511), (19_000, 7))]
+    assert (chain.predict(texts)[:, -1] >= toxicity.THRESHOLD).all() and chain.predict([clean(20_000)])[0, -1] < toxicity.THRESHOLD
+    assert chain.predict([]).shape == (0, 3)
+
+
 # ---------------------------------------------------------------------------------------------- licenses
 
 
