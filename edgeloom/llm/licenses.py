@@ -5,8 +5,10 @@ There, the stretches are compared with the templates whose number of bigrams can
 b (d / (2 - d)) <= a <= b ((2 - d) / d). The window as long as the template that has the highest coefficient, trimmed or
 grown by a word at a time while that helps, is reported where it reaches the threshold.
 
-Results: a null or empty text has no licenses; per text and template the best window, of equal ones the first; templates of one family that overlap are
-reported by the highest coefficient, of equal ones the longest, then the first by name; repeated rows are each reported.
+What lies before and after a window is looked through anew, so every copy of a notice is found. Windows that overlap are
+taken by the highest coefficient, of equal ones the longest, then the first by name; what a window that is not taken leaves free is looked through again.
+
+Results: a null or empty text has no licenses; all windows are reported that are taken; repeated rows are each reported.
 """
 
 from __future__ import annotations
@@ -155,6 +157,19 @@ def best_window(words: list[str], template: Template, threshold: float) -> tuple
     return (d, start, end) if d >= threshold else None
 
 
+def all_windows(words: list[str], template: Template, threshold: float) -> list[tuple[float, int, int]]:
+    """The best window of a stretch, then those of what lies before and after it, and so on: none overlap."""
+    out, todo = [], [(0, len(words))]
+    while todo:
+        a, z = todo.pop()
+        if template.anchors.isdisjoint(words[a:z]) or not (w := best_window(words[a:z], template, threshold)):
+            continue
+        d, s, e = w
+        out.append((d, a + s, a + e))
+        todo += [(a, a + s), (a + e, z)]
+    return out
+
+
 def stretches(hits: list[int], reach: int, n: int) -> list[tuple[int, int]]:
     """Parts of 0..n within `reach` of a hit; what is longer than PART is cut into parts that overlap by twice the reach."""
     out: list[list[int]] = []
@@ -179,19 +194,32 @@ def licenses_of(text: str, threshold: float = THRESHOLD, own: tuple | None = Non
     at: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         at.setdefault(w, []).append(i)
-    found: list[tuple[str, float, int, int]] = []
-    for t in templates:
-        hits = sorted(i for a in t.anchors for i in at.get(a, ()))
-        areas = stretches(hits, int(t.most) + 2, len(words))
-        windows = [(d, -(a + s), a + s, a + e) for a, z in areas if (w := best_window(words[a:z], t, threshold)) for d, s, e in [w]]
-        if windows:
-            d, _, s, e = max(windows)
-            found.append((t.name, d, places[s][0], places[e - 1][1]))
-    out: list[tuple[str, float, int, int]] = []
-    for x in sorted(found, key=lambda x: (-x[1], x[2] - x[3], x[0])):
-        if all(x[2] >= y[3] or y[2] >= x[3] for y in out):
-            out.append(x)
-    return sorted(out, key=lambda x: (x[2], x[0]))
+    taken: list[tuple[str, float, int, int]] = []
+    queue = [(t, a, z) for t in templates for a, z in stretches(sorted(i for x in t.anchors for i in at.get(x, ())), int(t.most) + 2, len(words))]
+    while queue:
+        found = {(t.name, d, a + s, a + e): t for t, a, z in queue for d, s, e in all_windows(words[a:z], t, threshold)}
+        queue, lost = [], []
+        for x in sorted(found, key=lambda x: (-x[1], x[2] - x[3], x[0], x[2])):
+            if all(x[2] >= y[3] or y[2] >= x[3] for y in taken):
+                taken.append(x)
+            else:
+                lost.append(x)
+        # a window that lost to another may have hidden one beside it: its template looks through what is free around it
+        for x in lost:
+            t = found[x]
+            queue += [(t, a, z) for a, z in _free(taken, x[2] - int(t.most) - 2, x[3] + int(t.most) + 2, len(words)) if z - a > t.least]
+        queue = list(dict.fromkeys(queue))
+    return sorted(((n, d, places[s][0], places[e - 1][1]) for n, d, s, e in taken), key=lambda x: (x[2], x[0]))
+
+
+def _free(taken: list[tuple[str, float, int, int]], a: int, z: int, n: int) -> list[tuple[int, int]]:
+    """What no window that is taken holds of a..z."""
+    out, at = [], max(0, a)
+    for _, _, s, e in sorted(taken, key=lambda x: x[2]):
+        if e > at and s < min(z, n):
+            out.append((at, s))
+            at = e
+    return [(s, e) for s, e in [*out, (at, min(z, n))] if e > s]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, own: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

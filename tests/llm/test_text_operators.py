@@ -333,6 +333,21 @@ def test_licenses_equal_brute_force_on_short_texts():
                 assert text[found[0][2] : found[0][3]].split()[0] == words[0]
 
 
+def test_every_notice_of_a_text_is_found():
+    longest = {n: max(x, key=len) for n, x in licenses.TEMPLATES.items()}
+    fill = "some other words of prose that stand between two of the notices " * 30
+    names = lambda text: sorted(x[0] for x in licenses.licenses_of(text))
+    both = sorted(["BSD-2-Clause", "BSD-3-Clause"])
+    for order in (both, both[::-1]):
+        for gap in (" ", f" {fill} "):
+            assert names(gap.join(longest[n] for n in order)) == both
+    mit = longest["MIT"]
+    for gap in (" ", f" {fill} "):
+        assert names(gap.join([mit] * 4)) == ["MIT"] * 4
+    found = licenses.licenses_of(" ".join([mit, longest["BSD-3-Clause"], mit, longest["BSD-2-Clause"]]))
+    assert all(x[3] <= y[2] for x, y in zip(found, found[1:])) and len(found) == 4
+
+
 def test_license_edge_cases(spark):
     full = licenses.TEMPLATES["MIT"][2]
     texts = [*ODD, f"intro\n// {full.upper()}\n outro", "nothing licensed here but words", "All rights reserved. Licensed under CC BY-NC 4.0.", "license " * 9000]
