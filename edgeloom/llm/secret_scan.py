@@ -1,7 +1,7 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
-Candidates are the fixed shapes below (the base) and, beyond them, strings of credential characters that follow a sensitive word
-closely, private keys, and credentials in addresses. Each is measured by its marginal compressed bytes: what zstandard, primed with a dictionary of public identifiers and code words,
+Candidates are the fixed shapes below (the base) and, beyond them, strings of credential characters on either side of a sensitive word
+(whatever stands between, line ends too), private keys, and credentials in addresses. Each is measured by its marginal compressed bytes: what zstandard, primed with a dictionary of public identifiers and code words,
 needs for the surrounding text with the candidate, less what it needs without. Base candidates are always reported, with
 that measure; the others only where a character costs at least BITS bits, so words of prose and code, which the
 dictionary or the surroundings know, are left alone.
@@ -28,8 +28,8 @@ KINDS = ("assign", "access", "hex", "novel")
 AROUND = 512
 #: Bits a character of a candidate beyond the base must cost: random base64 costs over 6, words of known letters under 5.
 BITS = 5.5
-#: Characters that such a candidate has at least, and how far before it the sensitive word may end.
-LEAST, REACH = 16, 24
+#: Characters that such a candidate has at least, and how many may stand between it and the sensitive word.
+LEAST, REACH = 12, 50
 
 # The base shapes.
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -38,10 +38,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _SENSITIVE = re.compile(
-    r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api_?key|credential|private_?key|access_?key|client_?id|bearer|authorization|auth|signature|cookie|session|connection_?string|webhook|salt|nonce)"
-    r"[A-Za-z0-9_]{0,%d}[^A-Za-z0-9+/_.=~\n-][^A-Za-z0-9\n]{0,%d}([A-Za-z0-9+/_.=~-]{%d,})" % (REACH, REACH, LEAST),
+    r"pass(?:word|wd|phrase|code)|pwd|secret|token|credential|(?:api|private|access|secret|account|encryption|signing)[-_\x20]?key|client[-_\x20]?id|bearer|auth|signature|cookie|session|connection[-_\x20]?string|webhook|salt|nonce",
     re.IGNORECASE | re.ASCII,
 )
+#: Credential-like strings; = is part of one at its end only.
+_CREDENTIAL = re.compile(r"[A-Za-z0-9+/_~][A-Za-z0-9+/_.~-]{%d,}[A-Za-z0-9+/_~-]={0,2}" % (LEAST - 2))
+#: What such strings are in addresses, where / and . part words.
+_PART = re.compile(r"[A-Za-z0-9+_~-]{%d,}={0,2}" % LEAST)
+_ADDRESS = re.compile(r"://[^\s\"'<>]*\Z")
 _SENSITIVE_HINT = ("pass", "pwd", "secret", "token", "key", "credential", "client", "bearer", "auth", "signature", "cookie", "session", "connection", "webhook", "salt", "nonce")
 
 #: Public code words and identifiers that prime the compressor.
@@ -91,20 +95,37 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 #: Where else sensitive strings stand, each with what a text must hold for it: private keys, and credentials in addresses.
 _PLACES = (
-    ("PRIVATE KEY-----", re.compile(r"PRIVATE KEY-----\s{1,8}([A-Za-z0-9+/=\s]{40,20000}?)\s{0,8}-----END")),
+    ("PRIVATE KEY", re.compile(r"PRIVATE KEY(?: BLOCK)?-----\s{1,8}(?:[A-Za-z][A-Za-z-]{0,40}:[^\n]{0,1000}\n\s{0,8})*([A-Za-z0-9+/=][A-Za-z0-9+/=\s]{38,}[A-Za-z0-9+/=])\s{0,8}-----END")),
     ("://", re.compile(r"://[^\s:/@]{1,64}:([^\s:/@]{8,128})@")),
 )
 
 
+def near_sensitive(text: str) -> list[tuple[int, int]]:
+    """The credential-like strings that a sensitive word stands within REACH of, on either side; the word may not be in the string itself."""
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    out, k = [], 0
+    for m in _CREDENTIAL.finditer(text) if words else ():
+        s, e = m.span()
+        while k < len(words) and words[k][1] < s - REACH:
+            k += 1
+        at = k
+        while at < len(words) and words[at][0] <= e + REACH:
+            if words[at][1] <= s or words[at][0] >= e:
+                out += [p.span() for p in _PART.finditer(text, s, e)] if _ADDRESS.search(text, max(0, s - AROUND), s + 2) else [(s, e)]
+                break
+            at += 1
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], bits: float = BITS, dictionary: str = IDENTIFIERS) -> list[tuple[int, int, str, int]]:
     """Strings in sensitive places that neither the dictionary nor the surroundings know."""
     low = text.lower()
-    spans = [m.span(1) for m in _SENSITIVE.finditer(text)] if any(h in low for h in _SENSITIVE_HINT) else []
+    spans = near_sensitive(text) if any(h in low for h in _SENSITIVE_HINT) else []
     for hint, pattern in _PLACES:
         if hint in text:
             spans += [m.span(1) for m in pattern.finditer(text)]
     out, taken, end, k = [], sorted((s, e) for s, e, _ in base), 0, 0
-    for s, e in sorted(spans):
+    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
         while k < len(taken) and taken[k][1] <= s:
             k += 1
         if s < end or any(a < e and s < z for a, z in taken[k : k + 8]):

@@ -70,6 +70,22 @@ def test_novelty_reports_random_strings_and_leaves_words_alone():
     assert secret_scan.marginal_bytes(f"{key} {key}", 41, 81) < 10 < 25 < secret_scan.marginal_bytes(f"{prose}{key}", len(prose), len(prose) + 40)
 
 
+def test_novelty_measures_every_string_near_a_sensitive_word():
+    rng = random.Random(12)
+    some = lambda n: "Q7z" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n - 3))
+    prose = "the people who came were told about it in the morning before they left for home. " * 3
+    novel = lambda text: [text[s:e] for s, e, k, _ in secret_scan.findings(text) if k == "novel"]
+    for form in ("x-api-key: %s", "API key: %s", "access key %s", "access_key=%s", "the client secret is %s", '"name": "API_KEY", "value": "%s"', "token:\n  %s", "%s is the password of it", "use %s\nas api key"):
+        value = some(32)
+        assert novel(f"{prose}\n{form % value}\n{prose}") == [value], form
+    value = some(12)
+    assert novel(f"{prose} pwd: {value}\n{prose}") == [value]
+    assert novel(f"{prose} {some(32)} {prose}") == []
+    body = lambda n: "\n".join(some(64) for _ in range(n))
+    for head, key in (("RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n", body(6)), ("PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\n", body(9)), ("PRIVATE KEY-----\n", body(400))):
+        assert key in novel(f"{prose}\n-----BEGIN {head}{key}\n-----END {head.split('-----')[0]}-----\n{prose}")
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = frame(spark, ["a password=abcdef123 b", None, "clean", "token: deadbeefdeadbeefdeadbeefdeadbeef!"])
     out = secret_scan.redact(docs)
