@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from edgeloom.shipping import ship
 from edgeloom.storage import shared_dir, stored
 
-__all__ = ["BATCH_ROWS", "crc_mod", "id_and_text", "map_batches", "shared_dir", "stored", "table", "texts_of", "tokenizer_path", "without_ids"]
+__all__ = ["BATCH_ROWS", "crc_mod", "id_and_text", "map_batches", "shared_dir", "stored", "table", "texts_of", "tokenizer_path", "without_ids", "without_keys"]
 
 #: Rows of text in an Arrow batch: a worker holds a few batches at a time, so this bounds its memory.
 BATCH_ROWS = 512
@@ -53,10 +53,15 @@ BROADCAST_IDS = 500_000
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is not among the distinct ids (column _id); all columns stay. A null id is an id."""
+    return without_keys(docs, ids, {"_id": docs[id_col]})
+
+
+def without_keys(docs: DataFrame, ids: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of docs for which the keys (by column of ids) are not among the distinct ids; all columns stay. A null is a value."""
     ids = stored(ids)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), "left_anti")
+    return docs.join(ids, [key.eqNullSafe(ids[name]) for name, key in keys.items()], "left_anti")
 
 
 def crc_mod(id_col: Column, n: int) -> Column:

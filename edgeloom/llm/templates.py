@@ -14,7 +14,8 @@ SLOTS placeholders says little alone: it needs FIXED words that are none, and su
 with SLOTS of them. Items of fewer words than a window are one window; those under LEAST
 words cannot be told from chance and are left out.
 
-Results: null and empty texts match nothing; rows with one id (the null id too) are one document; repeated items are each reported; ties do not occur,
+Results: null and empty texts match nothing; rows with one id are one document, and
+those with a null id are documents by their texts; repeated items are each reported; ties do not occur,
 as every item is reported; empty tables give an empty result.
 """
 
@@ -25,10 +26,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_and_text, map_batches, stored, texts_of, without_ids
+from edgeloom.llm.common import id_and_text, map_batches, stored, texts_of, without_keys
 
 WINDOW, LEAST, SLOTS, FIXED = 8, 5, 3, 2
 ENOUGH, COVERED = 13, 0.6
@@ -160,14 +161,19 @@ def windows_of(rows: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndar
     return *(np.concatenate(x) for x in zip(*found, strict=True)), real, kinds, kinds_of
 
 
-_HIT = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("width", pa.int32()), ("form", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("names", pa.list_(pa.int32())), ("n_tokens", pa.int32())])
-_HIT_SQL = "id long, pos int, width int, form int, hash long, slots array<string>, names array<int>, n_tokens int"
+_HIT = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("width", pa.int32()), ("form", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("names", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("of_text", pa.int64())])
+_HIT_SQL = "id long, pos int, width int, form int, hash long, slots array<string>, names array<int>, n_tokens int, of_text long"
 
 
-def _hits(ids: list, texts: list[str], widths: list[int] | None, wanted) -> pa.RecordBatch | None:
+def of_text(id_col: Column, text_col: Column) -> Column:
+    """What tells rows with a null id from each other: a hash of the text; 0 for the others."""
+    return F.when(id_col.cast("long").isNull(), F.xxhash64(text_col.cast("string"))).otherwise(F.lit(0))
+
+
+def _hits(ids: list, of_texts: list, texts: list[str], widths: list[int] | None, wanted) -> pa.RecordBatch | None:
     """The windows whose hash is wanted; widths of None: those of an item (a short item is one window)."""
     out = tuple([] for _ in _HIT)
-    for own, (words, rows) in zip(ids, split_all(texts), strict=True):
+    for own, of, (words, rows) in zip(ids, of_texts, split_all(texts), strict=True):
         if not len(rows):
             continue
         if widths is None:
@@ -180,13 +186,13 @@ def _hits(ids: list, texts: list[str], widths: list[int] | None, wanted) -> pa.R
             at = [p + k for k in range(w) if slot[p + k] == 1 or (slot[p + k] and f in (BEGUN, _RICH_BEGUN))] if f else []
             names = [k for k in at if kinds[k] == CAPITAL]
             slots = [classify(words[real[k]].decode("utf-8", "replace"))[0] for k in at]
-            for column, value in zip(out, (own, p, w, min(f, RICH), int(hashes[i].view(np.int64)), slots, names, len(real)), strict=True):
+            for column, value in zip(out, (own, p, w, min(f, RICH), int(hashes[i].view(np.int64)), slots, names, len(real), of), strict=True):
                 column.append(value)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _HIT, strict=True)], schema=_HIT) if out[0] else None
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    run = lambda batch: _hits(batch.column(0).to_pylist(), texts_of(batch), None, None)
+    run = lambda batch: _hits(batch.column(0).to_pylist(), [0] * batch.num_rows, texts_of(batch), None, None)
     return map_batches(id_and_text(benchmark, id_col, text_col), run, _HIT_SQL)
 
 
@@ -204,26 +210,31 @@ def document_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id"
         return (bits[low >> three] >> (low & seven).astype(np.uint8)) & 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        return _hits(batch.column(0).to_pylist(), texts_of(batch), widths, wanted) if widths else None
+        return _hits(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch), widths, wanted) if widths else None
 
-    return map_batches(id_and_text(docs, id_col, text_col), run, _HIT_SQL)
+    return map_batches(id_and_text(docs, id_col, text_col).select("doc_id", "text", of_text(F.col("doc_id"), F.col("text")).alias("of_text")), run, _HIT_SQL)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", enough: int = ENOUGH, covered: float = COVERED) -> DataFrame:
     """doc_id, item_id, matched_words, item_words, coverage, exact (all of it as it is, without other slot values): each benchmark item that a document has."""
+    return _contaminated(docs, benchmark, id_col, text_col, item_col, enough, covered).drop("of_text")
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", enough: int = ENOUGH, covered: float = COVERED) -> DataFrame:
+    """What contaminated returns, and of_text."""
     items = stored(benchmark_windows(benchmark, item_col))
     shaped = (F.col("form") > AS_IS).alias("shaped")
-    hits = document_windows(docs, items, id_col, text_col).select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "hash", "width", shaped, F.col("form").alias("own_form"), F.col("slots").alias("values"))
+    hits = document_windows(docs, items, id_col, text_col).select(F.col("id").alias("doc_id"), "of_text", F.col("pos").alias("at"), "hash", "width", shaped, F.col("form").alias("own_form"), F.col("slots").alias("values"))
     known = items.select(F.col("id").alias("item_id"), "pos", "hash", "width", shaped, "form", "slots", "names", "n_tokens")
     keys = ["hash", "width", "shaped"]
     if items.count() <= BROADCAST:
         met = hits.join(F.broadcast(known), keys)
     else:
-        salt = F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64("doc_id", "of_text", "at"), F.lit(SALTS)).cast("int")
         met = hits.withColumn("salt", salt).join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"])
     met = met.withColumn("form", F.greatest("form", "own_form"))
     pairs = F.arrays_zip(F.col("slots"), F.col("values"))
-    along = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("shift"), "n_tokens").agg(
+    along = met.groupBy("doc_id", "of_text", "item_id", (F.col("at") - F.col("pos")).alias("shift"), "n_tokens").agg(
         *(F.collect_set(F.when(F.col("form") == f, F.struct("pos", "width"))).alias(f"spans_{f}") for f in FORMS),
         *(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("form") == f, pairs)))).alias(f"pairs_{f}") for f in FORMS[1:]),
         F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"),
@@ -236,14 +247,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         known_pairs = F.col(f"pairs_{f}") if known_pairs is None else F.array_union(known_pairs, F.col(f"pairs_{f}"))
         consistent = F.size(known_pairs) == F.size(F.array_distinct(F.transform(known_pairs, lambda p: p["slots"])))
         words.append(F.when(consistent & told if f == RICH else consistent, spread(F.col(f"spans_{f}"))).otherwise(F.array().cast("array<int>")))
-    along = along.select("doc_id", "item_id", "n_tokens", spread(F.col(f"spans_{AS_IS}")).alias("plain"), F.concat(*words).alias("shaped"))
-    found = along.groupBy("doc_id", "item_id", "n_tokens").agg(F.array_distinct(F.flatten(F.collect_list("plain"))).alias("plain"), F.array_distinct(F.flatten(F.collect_list("shaped"))).alias("shaped"))
-    found = found.select("doc_id", "item_id", F.size(F.array_union("plain", "shaped")).alias("matched_words"), F.col("n_tokens").alias("item_words"), F.size("plain").alias("_plain"))
+    along = along.select("doc_id", "of_text", "item_id", "n_tokens", spread(F.col(f"spans_{AS_IS}")).alias("plain"), F.concat(*words).alias("shaped"))
+    found = along.groupBy("doc_id", "of_text", "item_id", "n_tokens").agg(F.array_distinct(F.flatten(F.collect_list("plain"))).alias("plain"), F.array_distinct(F.flatten(F.collect_list("shaped"))).alias("shaped"))
+    found = found.select("doc_id", "of_text", "item_id", F.size(F.array_union("plain", "shaped")).alias("matched_words"), F.col("n_tokens").alias("item_words"), F.size("plain").alias("_plain"))
     share = F.col("matched_words") / F.col("item_words")
-    return found.filter((F.col("matched_words") >= enough) | (share >= covered)).select("doc_id", "item_id", "matched_words", "item_words", share.alias("coverage"), (F.col("_plain") >= F.col("matched_words")).alias("exact"))
+    return found.filter((F.col("matched_words") >= enough) | (share >= covered)).select("doc_id", "of_text", "item_id", "matched_words", "item_words", share.alias("coverage"), (F.col("_plain") >= F.col("matched_words")).alias("exact"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without any benchmark item; all columns stay."""
-    leaks = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_id")).distinct()
-    return without_ids(docs, leaks, id_col)
+    leaks = _contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("of_text").alias("_of_text")).distinct()
+    return without_keys(docs, leaks, {"_id": docs[id_col].cast("long"), "_of_text": of_text(docs[id_col], docs[text_col])})

@@ -351,6 +351,15 @@ def test_questions_rich_in_numbers_and_names(spark):
     assert found.keys() == {(0, 0), (1, 1), (2, 2)} and all(r["coverage"] == 1.0 and not r["exact"] for r in found.values())
 
 
+def test_a_leak_without_id_leaves_other_rows_without_id(spark):
+    half = ITEM.split()
+    docs = [(None, ITEM), (None, "fine words"), (None, None), (None, ""), (None, " ".join(half[:10])), (None, " ".join(["x"] * 10 + half[10:20])), (7, ITEM), (8, "fine words")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = templates.keep_clean(docs, bench(spark, [ITEM]))
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r["text"] != ITEM)
+    assert sorted(str(r["doc_id"]) for r in templates.contaminated(docs, bench(spark, [ITEM])).collect()) == ["7", "None"]
+
+
 # ---------------------------------------------------------------------------------------------- pipeline
 
 
