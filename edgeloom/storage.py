@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """spark.checkpoint.dir; a folder of our own only where that is unset and the driver is the only machine (tests, the command line on a local master)."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError(f"spark.checkpoint.dir is unset: tables between stages need a folder that all machines of {sc.master} share")
         found = "file://" + tempfile.mkdtemp(prefix="edgeloom-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
