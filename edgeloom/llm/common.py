@@ -14,8 +14,9 @@ from edgeloom.storage import shared_dir, stored
 
 __all__ = ["BATCH_ROWS", "crc_mod", "id_and_text", "map_batches", "shared_dir", "stored", "table", "texts_of", "tokenizer_path", "without_ids", "without_keys"]
 
-#: Rows of text in an Arrow batch: a worker holds a few batches at a time, so this bounds its memory.
-BATCH_ROWS = 512
+#: Rows, and bytes of Arrow data, that a function gets at once. Spark's own batches are bounded in bytes by the application's
+#: spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless it says otherwise), which is never changed here.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +28,25 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def slices(batch: pa.RecordBatch, rows: int, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `rows` rows and, but for single rows that are larger, about `size` bytes."""
+    at, n = 0, batch.num_rows
+    while at < n:
+        take = min(rows, n - at)
+        while take > 1 and batch.slice(at, take).nbytes > size:
+            take = max(1, take // 2)
+        yield batch.slice(at, take)
+        at += take
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """fn over every Arrow batch of at most `rows` rows."""
+    """fn over parts of Arrow batches, of at most `rows` rows and about BATCH_BYTES bytes each. No setting of the session is touched."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = fn(batch.slice(at, rows))
+            for part in slices(batch, rows):
+                out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
 

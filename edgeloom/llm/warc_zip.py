@@ -212,7 +212,6 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     own = F.col("first").isNull() | F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
     joined = joined.select("page_id", "url", "html", "sha1", F.when(~own, F.col("first")).alias("refers_to"))
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, done = Archive(), []
