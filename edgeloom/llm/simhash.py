@@ -7,8 +7,8 @@ each part its threshold from the candidates estimated from a bounded sample. Eac
 and probes every value within t_i bits; what shares a value is verified on all 64 bits.
 
 Distinct fingerprints alone are joined, so exact copies cost nothing. A value shared by more fingerprints than chance would give (HOT of them, or
-CROWD times what uniform bits have) is worked off in pairs of blocks, of which each emits a spanning forest of its links (at most one
-row a member), never all pairs. Components come from label propagation with pointer jumping over tables stored in the shared folder.
+CROWD times what uniform bits have) is a crowd: it emits a spanning forest of its links (at most one row a member and block), never all
+pairs, and a large one is reduced by hubs first (see `links`). Components come from label propagation with pointer jumping over tables stored in the shared folder.
 
 Results: a null or empty text (or one of white space) has fingerprint zero and is linked like any other; an empty table gives
 an empty result; repeated rows are kept, each with its fingerprint; ties of labels cannot occur (labels are ids); null ids
@@ -33,8 +33,9 @@ from edgeloom.shipping import ship
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 4, 4
 #: Fingerprints drawn to estimate how bits correlate and how many candidates a part yields. It bounds what the driver sees; results do not depend on it.
 SAMPLE = 2048
-#: A part value shared by more fingerprints than HOT, and than CROWD times what uniform bits would give, is worked off in blocks of BLOCK.
-HOT, CROWD, BLOCK = 16, 4, 1024
+#: A part value shared by more fingerprints than HOT, and than CROWD times what uniform bits would give, is a crowd; one of more than BLOCK members is worked off
+#: in blocks of about so many, around HUBS of them.
+HOT, CROWD, BLOCK, HUBS = 16, 4, 8192, 32
 #: What a probe row costs, in verified candidates.
 PROBE_COST = 4.0
 #: Distinct fingerprints that the partition is planned for at least: small inputs get the plan of large ones, so work grows in proportion.
@@ -148,89 +149,175 @@ def _signed(x: int) -> int:
 # ---------------------------------------------------------------------------------------------- links
 
 
-def _under(part: int, own: Column):
-    return lambda flip: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(flip).alias("key"))
+def _flips(bits: list[int], t: int) -> list[int]:
+    """The masks of at most t of the bits, none first."""
+    return [0] + [_signed(sum(1 << b for b in c)) for k in range(1, t + 1) for c in combinations(bits, k)]
 
 
-def _keyed(fps: DataFrame, plan: list[tuple[list[int], int]], probes: bool) -> DataFrame:
-    """fp, part, key: each fingerprint under its own value of a part (index), or under all values within the threshold (probes)."""
-    rows: list[Column] = []
-    for i, (bits, t) in enumerate(plan):
-        own = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        flips = [0] + ([sum(1 << b for b in c) for k in range(1, t + 1) for c in combinations(bits, k)] if probes else [])
-        # the flips of a part are one literal array, so the plan stays small whatever the threshold
-        rows.append(F.transform(F.array(*[F.lit(_signed(x)) for x in flips]), _under(i, own)))
-    return fps.select("fp", F.explode(F.flatten(F.array(*rows))).alias("k")).select("fp", "k.part", "k.key")
-
-
-def _forest(rows: np.ndarray, others: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks (the same block twice for the links within one). A link is only looked at while it joins two trees, so a dense block costs comparisons of arrays, not of pairs."""
-    nodes = np.unique(np.concatenate([rows, others]))
-    tree, mine, theirs, out = np.arange(len(nodes)), np.searchsorted(nodes, rows), np.searchsorted(nodes, others), []
-    for x, at in zip(rows, mine, strict=True):
-        near = theirs[np.bitwise_count(others ^ x) <= distance]
-        while len(apart := near[tree[near] != tree[at]]):
-            out.append((int(x), int(nodes[apart[0]])))
-            tree[tree == tree[apart[0]]] = tree[at]
-            near = apart
-    return out
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(x).cast("long") for x in values])
 
 
-def links(fps: DataFrame, plan: list[tuple[list[int], int]], total: int, distance: int = DISTANCE, hot: int = HOT, size: int = BLOCK) -> DataFrame:
-    """a, b: links between the `total` distinct fingerprints, enough to connect whatever is linked. Values that few share give all their links, the others a forest per pair of blocks of about `size`."""
-    index = _keyed(fps, plan, probes=False)
-    probe = _keyed(fps, plan, probes=True)
-    most = F.element_at(F.array(*[F.lit(max(hot, CROWD * total // 2 ** len(bits))) for bits, _ in plan]), F.col("part") + 1)
-    sizes = index.groupBy("part", "key").count().filter(F.col("count") > most).withColumn("blocks", F.ceil(F.col("count") / F.lit(size)).cast("int")).select("part", "key", "blocks")
-    sizes = stored(sizes)
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    i, p = index.withColumnRenamed("fp", "b"), probe.withColumnRenamed("fp", "a")
-    if sizes.isEmpty():
-        return p.join(i, ["part", "key"]).filter((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
-    cold_i, cold_p = (x.join(sizes, ["part", "key"], "left_anti") for x in (i, p))
-    cold = cold_p.join(cold_i, ["part", "key"]).filter((F.col("a") != F.col("b")) & near).select("a", "b")
+def _index(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
+    """b, part, key: each fingerprint under its own value of every part."""
+    rows = [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits)))).alias("key")) for i, (bits, _) in enumerate(plan)]
+    return fps.select(F.col("fp").alias("b"), F.explode(F.array(*rows)).alias("k")).select("b", "k.part", "k.key")
+
+
+def _probes(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
+    """a, part, key: each fingerprint under all values within the threshold of every part."""
 
-    def block(fp: str, n: Column) -> Column:
-        return F.pmod(F.xxhash64(F.col(fp)), n.cast("long")).cast("int")
+    def under(part: int, own: Column):
+        return lambda flip: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(flip).alias("key"))
 
-    def spread(rows: DataFrame, fp: str, mine: str, other: str, side: int) -> DataFrame:
-        held = rows.join(sizes, ["part", "key"]).withColumn(mine, block(fp, F.col("blocks")))
-        return held.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "key", "bi", "bj", F.lit(side).alias("side"), F.col(fp).alias("fp"))
+    # the flips of a part are one literal array, so the plan stays small whatever the threshold
+    rows = [F.transform(_longs(_flips(bits, t)), under(i, F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits)))))) for i, (bits, t) in enumerate(plan)]
+    return fps.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*rows))).alias("k")).select("a", "k.part", "k.key")
 
-    both = spread(i, "b", "bi", "bj", 0).unionByName(spread(p, "a", "bj", "bi", 1))
+
+def links(fps: DataFrame, plan: list[tuple[list[int], int]], total: int, distance: int = DISTANCE, hot: int = HOT, size: int = BLOCK, hubs: int = HUBS) -> DataFrame:
+    """a, b: links between the `total` distinct fingerprints, enough to connect whatever is linked.
+
+    Values that few share give all their links by a join of the probes with the index. Of a value that many share (of its fingerprints, and those
+    that probe it), up to `size` are worked off together into a spanning forest. Where there are more, `hubs` of them are drawn first: whoever is within the distance of a
+    hub is linked to it, and those whose hubs are linked need not be compared among themselves. They stand in one block each; only the rest, which no such hub
+    reaches, visit every block. So the rows that are shuffled follow the fingerprints, not their pairs.
+    """
+    spark = fps.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.repartition(width)  # a small table's few files would be exploded in as few tasks
+    index = stored(_index(fps, plan))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    most = F.element_at(_longs([max(hot, CROWD * total // 2 ** len(bits)) for bits, _ in plan]), F.col("part") + 1)
+    crowded = stored(index.groupBy("part", "key").count().filter(F.col("count") > most).select("part", "key"))
+    # probes of a crowded value meet nothing here, as its own fingerprints are left out
+    cold = _probes(fps, plan).join(index.join(crowded, ["part", "key"], "left_anti"), ["part", "key"]).filter((F.col("a") != F.col("b")) & near).select("a", "b")
+    if crowded.isEmpty():
+        return cold.distinct()
+    stars, dealt = _dealt(_members(index, crowded, plan), distance, size, hubs)
+    ship(spark)
+    warm = dealt.repartition("part", "key", "block", "visit").sortWithinPartitions("part", "key", "block", "visit").mapInArrow(_forests(distance), "a long, b long")
+    return cold.unionByName(stars).unionByName(warm).distinct()
+
+
+def _dealt(members: DataFrame, distance: int, size: int, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Links to hubs; and the rows that are worked off, by group: part, key, block, visit, fp, whether it is compared (visits) with those that stay, and known."""
+    sizes = members.groupBy("part", "key").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("long")).alias("own_n"))
+    crowds = stored(members.join(sizes, ["part", "key"]))
+    small = crowds.filter(F.col("n") <= size).select("part", "key", F.lit(0).alias("block"), F.lit(0).alias("visit"), "fp", F.col("own").alias("visits"), F.lit(True).alias("stays"), F.lit(False).alias("known"))
+    large = crowds.filter(F.col("n") > size)
+    if large.isEmpty():
+        return small.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0), small
+    stars, marked = _around_hubs(large, distance, hubs)
+    return stars, small.unionByName(_blocks(marked, size))
+
+
+def _members(index: DataFrame, crowded: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
+    """part, key, fp, own: the fingerprints that have a crowded value (own), and those within the part's threshold of it."""
+    around = None
+    for i, (bits, t) in enumerate(plan):
+        one = F.when(F.col("part") == i, _longs(_flips(bits, t)))
+        around = one if around is None else F.coalesce(around, one)
+    values = crowded.select("part", "key", F.explode(around).alias("flip")).select("part", F.col("key").alias("crowd"), F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
+    return index.join(values, ["part", "key"]).select("part", F.col("crowd").alias("key"), F.col("b").alias("fp"), (F.col("key") == F.col("crowd")).alias("own"))
+
+
+def _around_hubs(large: DataFrame, distance: int, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """The links of the members of large crowds to their hubs; and the members with whether the hubs of the largest group that hubs link reach them (known)."""
+    drawn = F.pmod(F.xxhash64("fp", "part"), F.col("own_n")) < hubs
+    chosen = large.filter(F.col("own") & drawn).groupBy("part", "key").agg(F.slice(F.array_sort(F.collect_set("fp")), 1, 62).alias("hubs"))
+    met = large.join(chosen, ["part", "key"], "left")
+    reach = F.aggregate(
+        F.sequence(F.lit(1), F.size("hubs")), F.lit(0).cast("long"), lambda mask, i: mask.bitwiseOR(F.when(F.bit_count(F.element_at("hubs", i).bitwiseXOR(F.col("fp"))) <= distance, F.call_function("shiftleft", F.lit(1).cast("long"), i - 1)).otherwise(F.lit(0).cast("long")))
+    )
+    met = stored(met.withColumn("mask", F.when(F.col("hubs").isNull() | (F.size("hubs") == 0), F.lit(0).cast("long")).otherwise(reach)))
+    first = F.filter(F.sequence(F.lit(1), F.size("hubs")), lambda i: F.call_function("shiftright", F.col("mask"), i - 1).bitwiseAND(F.lit(1)) == 1)[0]
+    reached = met.filter("mask <> 0").withColumn("first", first)
+    stars = reached.select(F.col("fp").alias("a"), F.element_at("hubs", F.col("first")).alias("b")).filter("a <> b")
+    # what the members of a hub have in common with other hubs: at most a row a hub, taken together before the shuffle
+    joint = reached.groupBy("part", "key", "first").agg(F.bit_or("mask").alias("mask"), F.count("*").alias("n"), F.first("hubs").alias("hubs"))
+    joint = stored(joint)
+    between = joint.select(F.element_at("hubs", F.col("first")).alias("a"), F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.size("hubs")), lambda i: F.when(F.call_function("shiftright", F.col("mask"), i - 1).bitwiseAND(F.lit(1)) == 1, F.element_at("hubs", i))), lambda h: h.isNotNull())).alias("b")).filter("a <> b")
+    # passes over the masks add those that share a hub; one that is left out is compared with all others, which costs time and no link
+    masks = F.col("masks")
+    one_pass = lambda start: F.aggregate(masks, start, lambda got, m: F.when(got.bitwiseAND(m["mask"]) != 0, got.bitwiseOR(m["mask"])).otherwise(got))
+    grouped = joint.groupBy("part", "key").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "mask"))).alias("masks"))
+    group = masks[0]["mask"]
+    for _ in range(4):
+        group = one_pass(group)
+    grouped = grouped.select("part", "key", group.alias("group"))
+    marked = met.join(grouped, ["part", "key"], "left").select("part", "key", "fp", "n", (F.col("mask").bitwiseAND(F.coalesce("group", F.lit(0).cast("long"))) != 0).alias("known"))
+    return stars.unionByName(between), stored(marked)
+
+
+def _blocks(marked: DataFrame, size: int) -> DataFrame:
+    """Members dealt to blocks of about `size`: each stays in one, and those that are not known visit every block, in groups of about `size` too."""
+    visitors = marked.groupBy("part", "key").agg(F.sum((~F.col("known")).cast("long")).alias("v"))
+    held = marked.join(visitors, ["part", "key"]).filter("v > 0")
+    blocks, groups = (F.ceil(F.col(c) / F.lit(size)).cast("int") for c in ("n", "v"))
+    deal = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), n.cast("long")).cast("int")
+    columns = lambda rows, visits: rows.select("part", "key", "block", "visit", "fp", F.lit(visits).alias("visits"), F.lit(not visits).alias("stays"), "known")
+    stay = held.withColumn("block", deal(blocks, 1)).withColumn("visit", F.explode(F.sequence(F.lit(0), groups - 1)))
+    visit = held.filter("not known").withColumn("visit", deal(groups, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return columns(stay, False).unionByName(columns(visit, True))
+
+
+def _forest(fps: np.ndarray, visits: np.ndarray, stays: np.ndarray, known: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between those that visit and those that stay. Who stays and is known is of one tree already."""
+    nodes, at = np.unique(fps, return_inverse=True)
+    visitor, resident, tree = np.zeros(len(nodes), bool), np.zeros(len(nodes), bool), np.arange(len(nodes))
+    visitor[at[visits]] = True
+    resident[at[stays]] = True
+    if known.any():
+        tree[at[known]] = at[known].min()
+    a, b = [], []
+    others, theirs = nodes[resident], np.flatnonzero(resident)
+    for i in np.flatnonzero(visitor):
+        # those of its own tree are never looked at again, so a dense crowd, which soon is one tree, costs little
+        apart = tree[theirs] != tree[i]
+        if not apart.any():
+            continue
+        near = theirs[apart][np.bitwise_count(others[apart] ^ nodes[i]) <= distance]
+        if len(near):
+            trees, one_each = np.unique(tree[near], return_index=True)
+            a.append(np.full(len(one_each), nodes[i]))
+            b.append(nodes[near[one_each]])
+            tree[np.isin(tree, trees)] = tree[i]
+    none = np.zeros(0, np.uint64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def _forests(distance: int):
+    """Over rows sorted by part, key, block and visit: the forest of each of these groups, of which one at a time is in memory."""
 
     def run(batches):
-        # rows come sorted by block pair; a pair holds a few hundred rows, so one pair at a time is in memory
-        key, sides = None, ([], [])
+        held: list[pa.RecordBatch] = []
 
         def done():
-            if sides[0] and sides[1]:
-                a, b = (np.array(s, np.int64).view(np.uint64) for s in sides)
-                return _forest(b, a, distance)
-            return []
-
+            rows = pa.Table.from_batches(held)
+            fp, visits, stays, known = (rows[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("fp", "visits", "stays", "known"))
+            a, b = _forest(fp.view(np.uint64), visits, stays, known, distance)
+            held.clear()
+            if len(a):
+                return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            return None
+
+        last = None
         for batch in batches:
-            out = []
-            cols = [batch.column(k).to_pylist() for k in range(6)]
-            for part, value, bi, bj, side, fp in zip(*cols, strict=True):
-                if (part, value, bi, bj) != key:
-                    out += done()
-                    key, sides = (part, value, bi, bj), ([], [])
-                sides[side].append(fp)
-            if out:
-                yield _pairs(out)
-        if out := done():
-            yield _pairs(out)
-
-    ship(fps.sparkSession)
-    dealt = both.repartition("part", "key", "bi", "bj").sortWithinPartitions("part", "key", "bi", "bj", "side")
-    warm = dealt.mapInArrow(run, "a long, b long")
-    return cold.unionByName(warm).distinct()
-
-
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(found, np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            keys = [batch.column(k).to_numpy() for k in range(4)]
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if s == e:
+                    continue
+                key = tuple(int(k[s]) for k in keys)
+                if held and key != last and (out := done()):
+                    yield out
+                last = key
+                held.append(batch.slice(s, e - s))
+        if held and (out := done()):
+            yield out
+
+    return run
 
 
 # ---------------------------------------------------------------------------------------------- groups
