@@ -3,8 +3,8 @@
 Words are what white space parts, lower-cased and without the marks around them. In a template, numbers, quantities, units and names are typed
 placeholders. A document's windows of WINDOW words, once as they are and once as templates, are hash-joined with those of the
 benchmark; what the placeholders stand for must be consistent along an alignment (one value of the item has one value in
-the document), so a question with other numbers and names is found, and chance meetings of templates are not. A filter of
-fixed size over the benchmark's hashes decides which windows of a document leave its task at all.
+the document), so a question with other numbers and names is found, and chance meetings of templates are not. A filter over the benchmark's
+hashes, as large as these need, decides which windows of a document leave its task at all.
 
 A capitalised word that begins a sentence is a word in one form of a template and a name in another, unless it is one of STARTERS, as no
 capital tells which it is; windows of either form meet those of either.
@@ -12,10 +12,10 @@ capital tells which it is; windows of either form meet those of either.
 An item is reported for a document if at least ENOUGH of its words, or the share COVERED of them, lie in such windows. A window with more than
 SLOTS placeholders says little alone: it needs FIXED words that are none, and such windows count where an alignment has as many words besides names as a window
 with SLOTS of them. Items of fewer words than a window are one window; those under LEAST
-words cannot be told from chance and are left out.
+words say nothing within a text, and are compared whole: with documents of just their words, as they are.
 
-Results: null and empty texts match nothing; rows with one id are one document, and
-those with a null id are documents by their texts; repeated items are each reported; ties do not occur,
+Results: null and empty texts match nothing, nor do texts without words that have a core; very long texts are looked through whole; rows with one id are one document, and
+those with a null id are documents by their texts; repeated rows of a document change nothing; repeated items are each reported; ties do not occur,
 as every item is reported; empty tables give an empty result.
 """
 
@@ -33,11 +33,11 @@ from edgeloom.llm.common import id_and_text, map_batches, stored, texts_of, with
 
 WINDOW, LEAST, SLOTS, FIXED = 8, 5, 3, 2
 ENOUGH, COVERED = 13, 0.6
-#: Bits of the filter, whatever the benchmark's size; and windows up to which the benchmark is sent to every task instead of being shuffled.
-FILTER_BITS, BROADCAST = 1 << 24, 200_000
+#: Bits of the filter for each of the benchmark's windows, of which it sets two: about one foreign window in 70 passes. And windows up to which the benchmark is sent to
+#: every task instead of being shuffled.
+BITS_EACH, BROADCAST = 16, 200_000
 #: Distinct words that a task keeps.
 WORDS = 500_000
-SALTS = 16
 
 #: Words for numbers and units.
 NUMBER_WORDS = frozenset("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
@@ -171,18 +171,20 @@ def of_text(id_col: Column, text_col: Column) -> Column:
 
 
 def _hits(ids: list, of_texts: list, texts: list[str], widths: list[int] | None, wanted) -> pa.RecordBatch | None:
-    """The windows whose hash is wanted; widths of None: those of an item (a short item is one window)."""
+    """The windows whose hash is wanted; widths of None: those of an item (a short item is one window). Windows of under LEAST words are whole texts, as they are."""
     out = tuple([] for _ in _HIT)
     for own, of, (words, rows) in zip(ids, of_texts, split_all(texts), strict=True):
         if not len(rows):
             continue
-        if widths is None:
-            n = int((_table.settled()[1][rows] != NONE).sum())
-            if n < LEAST:
-                continue
-        pos, width, form, hashes, real, kinds, slot = windows_of(rows, widths or [min(n, WINDOW)])
+        n = int((_table.settled()[1][rows] != NONE).sum())
+        if not n:
+            continue
+        own_widths = [min(n, WINDOW)] if widths is None else [w for w in widths if w >= LEAST or w == n]
+        pos, width, form, hashes, real, kinds, slot = windows_of(rows, own_widths)
         for i in np.flatnonzero(wanted(hashes)) if wanted else range(len(hashes)):
             p, w, f = int(pos[i]), int(width[i]), int(form[i])
+            if f and w < LEAST:
+                continue
             at = [p + k for k in range(w) if slot[p + k] == 1 or (slot[p + k] and f in (BEGUN, _RICH_BEGUN))] if f else []
             names = [k for k in at if kinds[k] == CAPITAL]
             slots = [classify(words[real[k]].decode("utf-8", "replace"))[0] for k in at]
@@ -198,16 +200,24 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 
 def document_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The windows of docs that pass the filter of the benchmark's hashes: all that meet one, and few others."""
-    at = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
-    filled = windows.select(F.shiftright(at, 3).alias("byte"), at.bitwiseAND(F.lit(7)).cast("int").alias("bit")).groupBy("byte").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    n = windows.select("hash").distinct().count()
+    size = 1 << max(16, (BITS_EACH * n - 1).bit_length())
+    low, high = F.col("hash"), F.shiftright(F.col("hash"), 32)
+    at = windows.select(F.explode(F.array(low.bitwiseAND(F.lit(size - 1)), high.bitwiseAND(F.lit(size - 1)))).alias("at"))
+    filled = at.groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(size // 8, np.uint8)
     bits[filled["byte"].to_numpy()] = filled["bits"].to_numpy().astype(np.uint8)
     widths = sorted({r["width"] for r in windows.select("width").distinct().collect()})  # WINDOW and what is shorter
-    mask, three, seven = np.uint64(FILTER_BITS - 1), np.uint64(3), np.uint64(7)
+    mask, three, seven = np.uint64(size - 1), np.uint64(3), np.uint64(7)
+
+    def has(at: np.ndarray) -> np.ndarray:
+        return (bits[at >> three] >> (at & seven).astype(np.uint8)) & 1
 
     def wanted(hashes: np.ndarray) -> np.ndarray:
-        low = hashes & mask
-        return (bits[low >> three] >> (low & seven).astype(np.uint8)) & 1
+        found = np.flatnonzero(has(hashes & mask))
+        out = np.zeros(len(hashes), bool)
+        out[found] = has((hashes[found].view(np.int64) >> 32).view(np.uint64) & mask) > 0
+        return out
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         return _hits(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch), widths, wanted) if widths else None
@@ -230,8 +240,7 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
     if items.count() <= BROADCAST:
         met = hits.join(F.broadcast(known), keys)
     else:
-        salt = F.pmod(F.xxhash64("doc_id", "of_text", "at"), F.lit(SALTS)).cast("int")
-        met = hits.withColumn("salt", salt).join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"])
+        met = hits.join(known, keys)  # a window that many documents have is split by adaptive execution, by its size
     met = met.withColumn("form", F.greatest("form", "own_form"))
     pairs = F.arrays_zip(F.col("slots"), F.col("values"))
     along = met.groupBy("doc_id", "of_text", "item_id", (F.col("at") - F.col("pos")).alias("shift"), "n_tokens").agg(

@@ -166,6 +166,58 @@ def test_a_large_dense_group(spark):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+def family(n, p, seed=5):
+    """Distinct fingerprints about a center, each bit flipped with probability p."""
+    rng = np.random.default_rng(seed)
+    center, found = np.uint64(rng.integers(0, 2**63)), np.zeros(0, np.uint64)
+    while len(found) < n:
+        flips = np.packbits(rng.random((n, 64)) < p, axis=1, bitorder="little").view(np.uint64).ravel()
+        found = np.unique(np.concatenate([found, flips ^ center]))
+    return rng.permutation(found)[:n]
+
+
+def groups_of(fps, edges):
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    return [find(i) for i in range(len(fps))]
+
+
+def same_groups(ours, theirs):
+    return len(set(ours)) == len(set(theirs)) == len(set(zip(ours, theirs, strict=True)))
+
+
+@pytest.mark.parametrize("n,p,size,hubs", [(2500, 0.04, 200, 16), (2500, 0.07, 300, 4), (2500, 0.12, 100, 32), (900, 0.03, 50, 1)])
+def test_crowds_around_hubs_equal_brute_force(spark, n, p, size, hubs):
+    fps = np.concatenate([family(n, p), family(200, 0.05, seed=8), np.random.default_rng(2).integers(0, 2**63, 50, np.uint64)])
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    found = simhash.links(df, simhash.plan_parts(fps, 10**7), len(fps), size=size, hubs=hubs).collect()
+    brute = [(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4)]
+    assert same_groups(groups_of(fps, [(place[a], place[b]) for a, b in found]), groups_of(fps, brute))
+
+
+def test_rows_of_crowds_follow_the_fingerprints(spark):
+    """What is dealt to tasks for a family of near copies is bounded by its fingerprints: each has 46 values at most, and few visit other blocks."""
+    for n in (2000, 10_000, 50_000):
+        fps = family(n, 0.05)
+        df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+        plan = simhash.plan_parts(fps[:2048], 10**7)
+        values = sum(len(simhash._flips(bits, t)) for bits, t in plan)
+        index = simhash._index(df, plan)
+        crowded = index.groupBy("part", "key").count().filter("count > 16").select("part", "key")
+        members = simhash._members(index, crowded, plan)
+        stars, dealt = simhash._dealt(members, 4, simhash.BLOCK, simhash.HUBS)
+        assert members.count() <= values * n and dealt.count() <= 1.5 * values * n and stars.count() <= 2 * values * n
+
+
 def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
@@ -360,6 +412,52 @@ def test_a_leak_without_id_leaves_other_rows_without_id(spark):
     assert sorted(str(r["doc_id"]) for r in templates.contaminated(docs, bench(spark, [ITEM])).collect()) == ["7", "None"]
 
 
+def reparameterised(rng):
+    """An item of some sentences whose numbers, names (of one word and of two) and units are parameters, and the same with others."""
+    plain = "bought carried wanted found painted baskets ladders ribbons candles from near behind along quiet garden harbour market before after supper winter again because nobody could count them all slowly".split()
+    names, places = ["Anna", "Bruno", "Clara", "Dario", "Edith", "Frank", "Greta", "Hugo"], ["New Haven", "Green Hill", "North Bay", "Old Town", "Black Rock"]
+    units = [("km", "miles"), ("kg", "pounds"), ("hours", "days"), ("liters", "gallons")]
+    who, to, at, unit = rng.sample(names, 4), rng.sample(places, 4), [rng.randrange(2, 990) for _ in range(6)], rng.choice(units)
+    words = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    form = f"{{a}} {words(4)} {{n0}} {{u}} {words(5)} in {{p}} and {words(3)} {{n1}} {words(4)}. Then {{b}} {words(3)} {{n2}} {{u}} {words(6)} until {{a}} {words(4)}. How many {words(2)} does {{b}} have?"
+    fill = lambda k: form.format(a=who[k], b=who[k + 2], p=to[k], u=unit[k], n0=at[3 * k], n1=at[3 * k + 1], n2=at[3 * k + 2])
+    return fill(0), fill(1)
+
+
+def test_recall_of_reparameterised_items(spark):
+    rng = random.Random(21)
+    pairs = [reparameterised(rng) for _ in range(150)]
+    fill = "some other words stand around the question in this text and they are of no use to anyone who reads it. "
+    docs = [f"{fill * rng.randrange(3)}{changed} {fill}" for _, changed in pairs] + [reparameterised(rng)[0] for _ in range(150)]
+    found = set(leaks(spark, docs, [item for item, _ in pairs]))
+    right = {(i, i) for i in range(len(pairs))}
+    assert len(found & right) >= 0.9 * len(right) and not found - right
+
+
+def test_short_items_are_compared_whole(spark):
+    docs = ["Yes, no!", "yes no and more", "say yes no", "One two three four", "one two three 5", "", "..."]
+    assert set(leaks(spark, docs, ["yes no", "one two three four", "...", "tiny"])) == {(0, 0), (3, 1)}
+
+
+def test_very_long_and_repeated_documents(spark):
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7))) for _ in range(120_000))
+    docs = spark.createDataFrame([(1, f"{text} {ITEM} {text[:1000]}"), (2, text), (3, ITEM), (3, ITEM)], "doc_id long, text string")
+    found = templates.contaminated(docs, bench(spark, [ITEM, ITEM])).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["matched_words"]) for r in found) == [(d, i, found[0]["item_words"]) for d in (1, 3) for i in (0, 1)]
+
+
+def test_the_filter_passes_all_that_meet(spark):
+    rng = random.Random(5)
+    items = [" ".join(rng.choice("ab cd ef gh ij kl mn op".split()) + str(rng.randrange(50)) for _ in range(30)) for _ in range(400)]
+    windows = templates.benchmark_windows(bench(spark, items))
+    own = bench(spark, items).withColumnRenamed("item_id", "doc_id")
+    passed = templates.document_windows(own, windows)
+    assert {r["hash"] for r in windows.collect()} <= {r["hash"] for r in passed.collect()}
+    other = spark.createDataFrame([(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(400))) for i in range(50)], "doc_id long, text string")
+    assert templates.document_windows(other, windows).count() < 0.05 * 50 * 393
+
+
 # ---------------------------------------------------------------------------------------------- pipeline
 
 
