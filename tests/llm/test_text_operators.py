@@ -86,6 +86,82 @@ def test_novelty_measures_every_string_near_a_sensitive_word():
         assert key in novel(f"{prose}\n-----BEGIN {head}{key}\n-----END {head.split('-----')[0]}-----\n{prose}")
 
 
+ALPHABETS = {"lower": "abcdefghijklmnopqrstuvwxyz", "letters": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"}
+CODE = """def load_session(self, request, timeout=None):
+    session_identifier = request.cookies.get(self.application_configuration.session_cookie_name)
+    if session_identifier is None or not self.session_interface.is_null_session(session_identifier):
+        raise AuthenticationError(f"session token of {request.remote_address} is missing, see get_authentication_headers")
+    access_key_parameters = urllib.parse.parse_qsl(request.query_string, keep_blank_values=True)
+    return self.signing_key_provider.deserialize_session(session_identifier, maximum_age=permanent_session_lifetime)
+"""
+
+
+def test_recall_and_false_positives_by_alphabet(data):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(17)
+    texts = [t for t in pq.read_table(f"{data}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    surroundings = texts + [CODE] * 50
+    for name, letters in ALPHABETS.items():
+        hit = 0
+        for _ in range(100):
+            value, text = "".join(rng.choices(letters, k=24)), rng.choice(surroundings)
+            at = text.rfind("\n", 0, rng.randrange(len(text) + 1)) + 1
+            head = f"{text[:at]}client_secret_value -> "
+            hit += any(k == "novel" and s <= len(head) and len(head) + 24 <= e for s, e, k, _ in secret_scan.findings(f"{head}{value}\n{text[at:]}"))
+        assert hit >= 93, (name, hit)
+    assert [k for *_, k, _ in secret_scan.findings(CODE * 3)] == []
+    clean = [x for t in texts for x in secret_scan.findings(t) if x[2] == "novel"]
+    assert len(clean) <= 0.005 * len(texts)
+
+
+def brute_spans(text):
+    """All strings of credential characters, character by character, and what is decided for each by itself."""
+    base = [tuple(map(int, x.split(":")[1:])) for x in brute_base(text)]
+    words = [(m.start(), m.end()) for m in secret_scan._SENSITIVE.finditer(text)]
+    spans, at = [], 0
+    while at < len(text):
+        m = re.match(r"[A-Za-z0-9+/_~](?:[A-Za-z0-9+/_.~-]*[A-Za-z0-9+/_~-])?={0,2}", text[at:])
+        core = m.group().rstrip("=") if m else ""
+        if len(core) >= 12:
+            s, e = at, at + m.end()
+            if any((z <= s or a >= e) and a <= e + 50 and z >= s - 50 for a, z in words):
+                spans.append((s, e))
+            at = e
+        else:
+            at += max(1, len(core))
+    out, end = [], 0
+    for s, e in spans:
+        if s >= end and not any(a < e and s < z for a, z in base):
+            word = text[s:e]
+            around = text[e : e + 512] + text[max(0, s - 512) : s]
+            press = secret_scan._compressor(secret_scan.IDENTIFIERS).compress
+            size = lambda x: len(press((around + x).encode())) - len(press(around.encode()))
+            others = secret_scan.random_like(word)
+            if len(word) * __import__("math").log2(len(secret_scan.alphabet(word))) >= 56 and size(word) >= 0.8 * sum(map(size, others)) / 3 and size(word) * 8 >= 2.5 * len(word):
+                out.append((s, e))
+                end = e
+    return out
+
+
+def test_novel_spans_equal_brute_force():
+    rng = random.Random(23)
+    parts = ["session", "token", " is ", "the key ", "api-key", ": ", "=", "\n", "words of prose that nobody reads ", "AUTH", "administration", "get_session_token_value", "====", ".", "-", "password='short'", "é"]
+    for _ in range(250):
+        text = "".join(rng.choice(parts) if rng.random() < 0.8 else " " + "".join(rng.choices(rng.choice(list(ALPHABETS.values())), k=rng.randrange(8, 40))) + " " for _ in range(rng.randrange(25)))
+        assert [(s, e) for s, e, k, _ in secret_scan.findings(text) if k == "novel"] == brute_spans(text), text
+
+
+def test_secret_edges(spark):
+    rng = random.Random(2)
+    value = "".join(rng.choices(ALPHABETS["base64"], k=32))
+    long = "plain words go on " * 60_000
+    docs = frame(spark, [f"{long}\ntoken {value}\n{long}", f"token {value}", f"token {value}", f"https://user:{''.join(rng.choices(ALPHABETS['letters'], k=300))}@example.com/"])
+    rows = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["findings"]] for r in secret_scan.scan(docs).collect()}
+    assert rows[0] == [("novel", len(long) + 7, len(long) + 39)] and rows[1] == rows[2] == [("novel", 6, 38)] and [k for k, *_ in rows[3]] == ["novel"]
+    assert secret_scan.scan(docs.limit(0)).count() == 0
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = frame(spark, ["a password=abcdef123 b", None, "clean", "token: deadbeefdeadbeefdeadbeefdeadbeef!"])
     out = secret_scan.redact(docs)
