@@ -30,9 +30,20 @@ def centroid_words(centers: DataFrame) -> DataFrame:
     return sketch_words(centers.withColumnRenamed("c", "p"), "cluster_id").withColumnRenamed("words", "center")
 
 
-def distances(words: DataFrame, centers: DataFrame, bits: int) -> DataFrame:
-    """gid, cluster_id, distance of every graph to every centroid. Centroids are as many as the clusters a run starts with, which the caller knows to be few; Spark broadcasts them by their size."""
-    return words.crossJoin(centers).select("gid", "cluster_id", distance_of_sketch(sketch_similarity(F.col("words"), F.col("center"), bits)).alias("distance"))
+#: Bytes of centroid sketches that are sent to every task, and centroids in a block beyond that.
+BROADCAST, BLOCK = 64 << 20, 4096
+
+
+def distances(words: DataFrame, centers: DataFrame, bits: int, limit: int = BROADCAST) -> DataFrame:
+    """gid, cluster_id, distance of every graph to every centroid. Centroids are put into blocks, a row each; graphs meet all blocks by their numbers, which is one
+    broadcast of a checked size where the centroids take `limit` bytes at most, else a shuffle in which a graph has a row per block."""
+    n = centers.count()
+    blocks = max(1, -(-n // BLOCK))
+    rows = centers.groupBy(F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("cluster_id", "center")).alias("centers"))
+    if n * (bits // 8 + 32) <= limit:
+        rows = F.broadcast(rows)
+    met = words.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(rows, "block").select("gid", "words", F.explode("centers").alias("c"))
+    return met.select("gid", "c.cluster_id", distance_of_sketch(sketch_similarity(F.col("words"), F.col("c.center"), bits)).alias("distance"))
 
 
 def train_scores(words: DataFrame, members: DataFrame, centers: DataFrame, bits: int) -> DataFrame:

@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 
 from edgeloom.config import Config
 from edgeloom.operators.hashing import chunk_signs
+from edgeloom.operators.ordering import BLOCK, rank_within, with_context
 from edgeloom.operators.shingles import NODE
 
+#: Edges of a node that are worked off at once.
+RANKS = 1 << 16
+
 
 def live_counts(edges: DataFrame, max_edges: int | None) -> DataFrame:
-    """Edges with n, the live out-edges of their source after them."""
-    node = W.partitionBy(*NODE).orderBy("seq")
-    frame = node.rowsBetween(W.unboundedPreceding, 0) if max_edges is None else node.rangeBetween(-(max_edges - 1), 0)
-    return edges.withColumn("n", F.count("*").over(frame))
+    """Edges with n, the live out-edges of their source after them. A hot node's edges are counted by blocks of seq, with the edges before that are still live."""
+    if max_edges is None:
+        return rank_within(edges, NODE).withColumn("n", F.col("k") + 1).drop("k")
+    held = with_context(edges, "seq", BLOCK, max_edges - 1)
+    live = W.partitionBy(*NODE, "_block").orderBy("seq").rangeBetween(-(max_edges - 1), 0)
+    return held.withColumn("n", F.count("*").over(live)).filter("_own").drop("_block", "_own")
 
 
 def chunk_deltas(edges: DataFrame, config: Config) -> DataFrame:
@@ -31,8 +37,10 @@ def chunk_deltas(edges: DataFrame, config: Config) -> DataFrame:
     """
     c = config.chunk_length
     held = c + 2
-    recent = W.partitionBy(*NODE).orderBy("seq").rowsBetween(-(held - 1), 0)
-    rows = live_counts(edges, config.max_edges).withColumn("recent", F.collect_list(F.concat("e_type", "dst_type")).over(recent))
+    # a hot node's edges are worked off by blocks of their rank, with the last ones before
+    ranked = with_context(rank_within(live_counts(edges, config.max_edges), NODE), "k", RANKS, held - 1)
+    recent = W.partitionBy(*NODE, "_block").orderBy("k").rowsBetween(-(held - 1), 0)
+    rows = ranked.withColumn("recent", F.collect_list(F.concat("e_type", "dst_type")).over(recent)).filter("_own")
     mine = F.slice("recent", -F.least(F.col("n"), F.size("recent").cast("long")).cast("int"), F.least(F.col("n"), F.lit(held)).cast("int"))
     tail = F.concat(F.when(F.col("n") <= held, F.concat(F.lit(" "), "src_type")).otherwise(F.lit("")), F.array_join(mine, ""))
     rows = rows.withColumn("tail", tail).withColumn("last", ((2 * F.col("n") + 1) % c + 1).cast("int"))

@@ -1,19 +1,25 @@
 """The hash family that maps chunks to signs.
 
 h_i(s) is the top bit of m[i][0] + sum of m[i][j+1] * byte j, modulo 2^64, as -1 or 1. The multipliers are two 32-bit halves of an MD5 over seed, i
-and j. Under ANSI arithmetic a 64-bit product would overflow, so columns work on the halves; NumPy works on whole words.
+and j. As columns these are kept as halves, as a 64-bit word would overflow; NumPy works on whole words.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.config import Config
+from edgeloom.shipping import ship
+
+#: Chunks whose signs are worked out at once.
+SIGNS = 1024
 
 
 def hash_family(spark: SparkSession, config: Config) -> DataFrame:
@@ -26,18 +32,20 @@ def hash_family(spark: SparkSession, config: Config) -> DataFrame:
 
 
 def chunk_signs(chunks: DataFrame, config: Config) -> DataFrame:
-    """chunk, i, sign for each distinct chunk. The family is of a fixed size and broadcast; chunks meet it by position of their bytes."""
-    family = F.broadcast(hash_family(chunks.sparkSession, config))
-    spelled = chunks.select("chunk").distinct()
-    letters = F.transform(F.sequence(F.lit(0), F.length("chunk")), lambda j: F.struct(j.alias("j"), F.when(j == 0, F.lit(1)).otherwise(F.ascii(F.substr("chunk", j, F.lit(1)))).cast("long").alias("byte")))
-    terms = spelled.select("chunk", F.explode(letters).alias("b")).select("chunk", "b.j", "b.byte").join(family, "j")
-    sums = terms.groupBy("chunk", "i").agg(F.sum(F.col("hi") * F.col("byte")).alias("hi"), F.sum(F.col("lo") * F.col("byte")).alias("lo"))
-    return sums.select("chunk", "i", sign_of(F.col("hi"), F.col("lo")).alias("sign"))
+    """chunk, i, sign for each distinct chunk. Signs are worked out as an array per chunk and spread last, so nothing but the result has a row per component."""
+    seed, bits, length = config.seed, config.sketch_bits, config.chunk_length
+    ship(chunks.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SIGNS):
+                part = batch.column(0).slice(at, SIGNS)
+                found = signs(part.to_pylist(), seed, bits, length)
+                flat = pa.array(found.ravel().astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part, pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * bits), flat)], names=["chunk", "signs"])
 
-def sign_of(hi: Column, lo: Column) -> Column:
-    top = F.shiftright(hi + F.shiftright(lo, 32), 31).bitwiseAND(F.lit(1))
-    return (2 * top - 1).cast("int")
+    spelled = chunks.select("chunk").distinct().mapInArrow(run, "chunk string, signs array<int>")
+    return spelled.select("chunk", F.posexplode("signs").alias("i", "sign"))
 
 
 @functools.lru_cache(maxsize=4)
@@ -47,14 +55,14 @@ def family_words(seed: int, bits: int, chunk_length: int) -> np.ndarray:
     return np.array(words, np.uint64).reshape(bits, chunk_length + 1)
 
 
-def signs(chunks: list[str], seed: int, bits: int, chunk_length: int) -> np.ndarray:
-    """Chunks by bits, -1 or 1."""
-    family = family_words(seed, bits, chunk_length)
+def signs(chunks: list[str], seed: int, bits: int, chunk_length: int, part: slice = slice(None)) -> np.ndarray:
+    """Chunks by bits, or by a part of them, -1 or 1. A character counts as its code point."""
+    family = family_words(seed, bits, chunk_length)[part]
     spelled = np.zeros((len(chunks), chunk_length), np.uint64)
     for row, chunk in enumerate(chunks):
-        raw = chunk.encode("latin-1")
-        spelled[row, : len(raw)] = np.frombuffer(raw, np.uint8)
-    total = np.broadcast_to(family[:, 0], (len(chunks), bits)).copy()
+        raw = np.frombuffer(chunk.encode("utf-32-le"), np.uint32)
+        spelled[row, : len(raw)] = raw
+    total = np.broadcast_to(family[:, 0], (len(chunks), len(family))).copy()
     for j in range(chunk_length):
         total += spelled[:, j, None] * family[None, :, j + 1]
     return np.where(total >> np.uint64(63), 1, -1).astype(np.int8)

@@ -16,6 +16,11 @@ def bands(bits: DataFrame, config: Config) -> DataFrame:
     return bits.groupBy("gid", F.expr(f"cast(i div {rows} as int)").alias("band")).agg(value)
 
 
+def labelled(banded: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """The bands of the graphs that labels (gid, label) gives this label; a graph without a label is left out."""
+    return banded.join(labels.filter(F.col("label") == label).select("gid").distinct(), "gid", "left_semi")
+
+
 def neighbors(banded: DataFrame) -> DataFrame:
     """gid_a, gid_b: graphs that share a bucket, each with itself too. By definition it has all pairs of a bucket; lsh_components and isolated do without them."""
     a = banded.select("band", "bucket", F.col("gid").alias("gid_a"))

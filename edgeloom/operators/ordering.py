@@ -26,3 +26,12 @@ def rank_within(df: DataFrame, keys: list[str], seq: str = "seq", rank: str = "k
     before = counts.select(*keys, "_block", (F.sum("count").over(W.partitionBy(*keys).orderBy("_block")) - F.col("count")).alias("_before"))
     ranked = held.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_block").orderBy(seq)))
     return ranked.join(before, [*keys, "_block"]).withColumn(rank, F.col("_before") + F.col("_rank") - 1).drop("_block", "_before", "_rank")
+
+
+def with_context(df: DataFrame, at: str, size: int, reach: int) -> DataFrame:
+    """df by blocks (_block) of `size` values of the long column `at`, each with the rows of the block before that are within `reach` of its start.
+    The rows that are in their own block have _own. A window over a key and its block then needs no more rows than these, however hot the key is."""
+    size = max(size, reach)
+    block = F.expr(f"{at} div {size}")
+    both = F.when(F.col(at) % size >= size - reach, F.array(block, block + 1)).otherwise(F.array(block))
+    return df.withColumn("_block", F.explode(both)).withColumn("_own", F.col("_block") == block)

@@ -52,7 +52,8 @@ def counters(edges: DataFrame, bootstrap: DataFrame, config: Config) -> DataFram
     return held.agg((F.max("gid") + 1).cast("long").alias("num_graphs"), count(F.col("kept") & trains).alias("train_edges"), count(F.col("kept") & ~trains).alias("test_edges"), count(~F.col("kept")).alias("dropped_edges"))
 
 
-def attack_labels(gids: DataFrame, num_graphs: int) -> DataFrame:
-    """gid, label: of 600 graphs 300 to 399 are attacks, else the upper half."""
-    attack = F.col("gid").between(300, 399) if num_graphs == 600 else F.col("gid") >= num_graphs // 2
-    return gids.select("gid", F.when(attack, "attack").otherwise("normal").alias("label"))
+def attack_labels(edges: DataFrame) -> DataFrame:
+    """gid, label: of 600 graphs (largest gid + 1, over all edges) 300 to 399 are attacks, else the upper half; no rows without edges."""
+    graphs = F.broadcast(edges.agg((F.max("gid") + 1).alias("_graphs")))
+    attack = F.when(F.col("_graphs") == 600, F.col("gid").between(300, 399)).otherwise(F.col("gid") >= F.floor(F.col("_graphs") / 2))
+    return edges.select("gid").distinct().join(graphs).select("gid", F.when(attack, "attack").otherwise("normal").alias("label"))

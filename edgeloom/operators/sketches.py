@@ -37,10 +37,9 @@ def projections(bag: DataFrame, config: Config) -> DataFrame:
             known = words.dictionary.to_pylist()
             order = np.argsort(gids, kind="stable")
             cuts = np.flatnonzero(np.diff(gids[order])) + 1
-            # chunks by bits in blocks, so that a batch of any width stays small
+            # chunks by bits in blocks of components, each worked out once, so that a batch of any width stays small
             for at in range(0, bits, 256):
-                block = _block(known, seed, bits, length, at)
-                mine = block[words.indices.to_numpy()]
+                mine = signs(known, seed, bits, length, slice(at, at + 256)).astype(np.float32)[words.indices.to_numpy()]
                 for rows in np.split(order, cuts):
                     if len(rows):
                         vector = sums.setdefault(int(gids[rows[0]]), np.zeros(bits, np.int64))
@@ -54,10 +53,6 @@ def projections(bag: DataFrame, config: Config) -> DataFrame:
     return partial.select("gid", F.posexplode("p").alias("i", "p")).groupBy("gid", "i").agg(F.sum("p").alias("p"))
 
 
-def _block(chunks: list[str], seed: int, bits: int, length: int, at: int) -> np.ndarray:
-    return signs(chunks, seed, bits, length)[:, at : at + 256].astype(np.float64)
-
-
 def projections_by_join(bag: DataFrame, chunk_signs: DataFrame) -> DataFrame:
     """The same from a table of signs, with joins alone."""
     return bag.join(chunk_signs, "chunk").groupBy("gid", "i").agg(F.sum(F.col("cnt") * F.col("sign")).alias("p"))

@@ -30,13 +30,13 @@ family AS (SELECT i, j, CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) AS hi,
   FROM (SELECT CAST(a.range AS INTEGER) AS i, CAST(b.range AS INTEGER) AS j FROM range({bits}) a, range({c + 1}) b))"""
 
 
-def signs(of: str) -> str:
-    """of: a relation with a column chunk."""
+def signs(of: str, mark: str = "") -> str:
+    """of: a relation with a column chunk. mark: put before the relations' names, where a query has two such sets."""
     return f"""
-words AS (SELECT DISTINCT chunk FROM {of}),
-letters AS (SELECT chunk, j, CASE WHEN j = 0 THEN 1 ELSE ascii(substr(chunk, j, 1)) END AS byte FROM (SELECT chunk, unnest(range(length(chunk) + 1)) AS j FROM words)),
-signs AS (SELECT chunk, i, CAST(2 * (((hi + (lo >> 32)) >> 31) & 1) - 1 AS INTEGER) AS sign
-  FROM (SELECT chunk, i, CAST(sum(hi * byte) AS BIGINT) AS hi, CAST(sum(lo * byte) AS BIGINT) AS lo FROM letters JOIN family USING (j) GROUP BY chunk, i))"""
+{mark}words AS (SELECT DISTINCT chunk FROM {of}),
+{mark}letters AS (SELECT chunk, j, CASE WHEN j = 0 THEN 1 ELSE ascii(substr(chunk, j, 1)) END AS byte FROM (SELECT chunk, unnest(range(length(chunk) + 1)) AS j FROM {mark}words)),
+{mark}signs AS (SELECT chunk, i, CAST(2 * (((hi + (lo >> 32)) >> 31) & 1) - 1 AS INTEGER) AS sign
+  FROM (SELECT chunk, i, CAST(sum(hi * byte) AS BIGINT) AS hi, CAST(sum(lo * byte) AS BIGINT) AS lo FROM {mark}letters JOIN family USING (j) GROUP BY chunk, i))"""
 
 
 PROJECTED = """
@@ -76,6 +76,49 @@ deltas AS (SELECT seq, gid, n, substr(s, length(s) - ll + 1, ll) AS in_chunk,
   CASE WHEN n = 1 OR ll = 2 THEN NULL WHEN ll = 1 THEN substr(s, length(s) - {c}, {c} - 1) ELSE substr(s, length(s) - ll + 1, ll - 2) END AS out_chunk FROM parts)"""
 
 
+def fold(bits: int, c: int, n: int, limit: float) -> str:
+    """The online clusters edge by edge, as a recursion over seq that carries centroids, sizes and every graph's cluster; needs test, boot and centers."""
+
+    def distance(center: str) -> str:
+        return f"1 - cos({PI} * (1 - list_sum(list_transform(range(1, {bits + 1}), lambda i: CASE WHEN ({center}[i] >= 0) = (now[i] >= 0) THEN 1 ELSE 0 END)) / {float(bits)}))"
+
+    def moved(lists: str, k: str, value: str) -> str:
+        return f"list_transform({lists}, lambda x, k: CASE WHEN k = {k} THEN list_transform(x, lambda y, i: {value}) ELSE x END)"
+
+    resized = lambda sizes, k, by: f"list_transform({sizes}, lambda x, k: CASE WHEN k = {k} THEN x {by} ELSE x END)"
+    return f"""{deltas(c, n)},
+moved AS (SELECT seq, gid, in_chunk AS chunk, 1 AS s FROM deltas UNION ALL SELECT seq, gid, out_chunk, -1 FROM deltas WHERE out_chunk IS NOT NULL),
+{signs("moved", "moved_").strip()},
+steps AS (SELECT seq, gid, i, CAST(sum(s * sign) AS BIGINT) AS delta FROM moved JOIN moved_signs USING (chunk) GROUP BY seq, gid, i),
+walks AS (SELECT seq, gid, i, delta, CAST(sum(delta) OVER (PARTITION BY gid, i ORDER BY seq) AS BIGINT) AS now FROM steps),
+edge AS MATERIALIZED (SELECT seq, any_value(gid) AS gid, list(delta ORDER BY i) AS delta, list(now ORDER BY i) AS now, list(now - delta ORDER BY i) AS before FROM walks GROUP BY seq),
+begun AS MATERIALIZED (SELECT (SELECT list(v ORDER BY cluster_id) FROM (SELECT cluster_id, list(c ORDER BY i) AS v FROM centers GROUP BY cluster_id)) AS centers, (SELECT list(size ORDER BY cluster_id) FROM sizes) AS sizes,
+  (SELECT list(coalesce(cluster_id, -2) ORDER BY gid) FROM (SELECT 10 * range AS gid FROM range(60)) LEFT JOIN boot USING (gid)) AS held),
+fold AS (
+  SELECT CAST(-1 AS BIGINT) AS seq, CAST(NULL AS INTEGER) AS gid, CAST(NULL AS INTEGER) AS cluster_id, CAST(NULL AS DOUBLE) AS score, centers, sizes, held FROM begun
+  UNION ALL
+  SELECT seq, gid, cluster, CASE WHEN NOT far OR own = near - 1 THEN {distance("centers3[near]")} ELSE least_distance END, centers3, sizes3, list_transform(held, lambda x, k: CASE WHEN k = gid // 10 + 1 THEN cluster ELSE x END)
+  FROM (SELECT *, CAST(CASE WHEN far THEN -1 ELSE near - 1 END AS INTEGER) AS cluster,
+      CASE WHEN joins THEN {moved("centers2", "near", "(y * sizes2[k] + now[i]) / (sizes2[k] + 1)")} WHEN NOT far THEN {moved("centers2", "near", "y + delta[i] / sizes2[k]")} ELSE centers2 END AS centers3,
+      CASE WHEN joins THEN {resized("sizes2", "near", "+ 1")} ELSE sizes2 END AS sizes3
+    FROM (SELECT *, CASE WHEN leaves THEN {moved("centers", "own + 1", "(y * sizes[k] - before[i]) / (sizes[k] - 1)")} ELSE centers END AS centers2, CASE WHEN leaves THEN {resized("sizes", "own + 1", "- 1")} ELSE sizes END AS sizes2
+      FROM (SELECT *, own >= 0 AND (far OR own <> near - 1) AS leaves, NOT far AND own <> near - 1 AS joins
+        FROM (SELECT *, measured[near] AS least_distance, measured[near] > {limit} AS far
+          FROM (SELECT *, list_position(measured, list_min(measured)) AS near
+            FROM (SELECT edge.seq, edge.gid, delta, now, before, centers, sizes, held, held[edge.gid // 10 + 1] AS own, list_transform(centers, lambda x: {distance("x")}) AS measured
+              FROM fold JOIN edge ON edge.seq = fold.seq + 1)))))))"""
+
+
+def snapshots(interval: int) -> str:
+    """Over fold: the state of all graphs after every so many edges, and after the last; needs measured."""
+    return f"""
+states AS (SELECT seq, gid, cluster_id, score FROM fold WHERE seq >= 0),
+ends AS (SELECT CAST(range AS INTEGER) AS "interval", CASE WHEN range = m // {interval} THEN m ELSE range * {interval} END AS bound FROM (SELECT max(seq) AS m FROM states), range(m // {interval} + 1)),
+known AS (SELECT gid, cluster_id, distance AS score FROM measured JOIN boot USING (gid, cluster_id) UNION ALL SELECT DISTINCT gid, -2, -2.0 FROM test),
+latest AS (SELECT "interval", gid, arg_max(cluster_id, seq) AS cluster_id, arg_max(score, seq) AS score FROM ends JOIN states ON seq <= bound GROUP BY "interval", gid),
+snaps AS (SELECT "interval", gid, CAST(coalesce(l.cluster_id, k.cluster_id) AS INTEGER) AS cluster_id, round(coalesce(l.score, k.score), 6) + 0.0 AS score FROM known k CROSS JOIN ends LEFT JOIN latest l USING ("interval", gid))"""
+
+
 def similar(bits: int) -> str:
     return f"""
 pairs AS (SELECT a.gid AS gid_a, b.gid AS gid_b, sum(CASE WHEN a.bit = b.bit THEN 1 ELSE 0 END) / {float(bits)} AS stream FROM bits a JOIN bits b USING (i) GROUP BY a.gid, b.gid)"""

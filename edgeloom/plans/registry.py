@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from edgeloom.config import DATASETS, Config
 from edgeloom.operators import centroids, deltas, hashing, interleave, lsh, online, selection, shingles, similarity, sketches, snapshots
-from edgeloom.operators.ordering import dense_seq
+from edgeloom.operators.ordering import dense_seq, rank_within
 from edgeloom.plans import oracles as o
-from edgeloom.sources.edges import bootstrap_of_edges, edges_of_events
+from edgeloom.sources.edges import bootstrap_of_edges, edges_of_events, read_bootstrap, read_edges, write_bootstrap, write_edges
 from edgeloom.storage import stored
 from edgeloom.streaming import replay
 
@@ -25,6 +25,8 @@ CONFIG = Config(chunk_length=6, sketch_bits=64, bands=16, band_rows=4, max_edges
 SMALL = replace(CONFIG, sketch_bits=16, bands=4)
 ODD = replace(CONFIG, chunk_length=5)
 SIZE_EDGES, GLOBAL_THRESHOLD, THRESHOLD = 2000, 0.6, 0.5
+#: The scenario whose graphs are attacks.
+ATTACKS = 3
 C, L = CONFIG.chunk_length, CONFIG.sketch_bits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +83,11 @@ class Run:
     def simhash(self) -> DataFrame:
         return sketches.simhash_projections(self.vectors, self.vocab, self.config)
 
+    def labelled_bands(self) -> tuple[DataFrame, DataFrame]:
+        """Bands, and which graphs are normal: here all but the scenario of attacks."""
+        banded = stored(lsh.bands(sketches.sketch_bits(self.projected), self.config))
+        return banded, banded.select("gid", F.when(selection.in_scenarios((ATTACKS,)), "attack").otherwise("normal").alias("label")).distinct()
+
     def fold(self) -> online.Fold:
         return online.start(self.config, self.boot, self.clusters()[1], self.thresholds, GLOBAL_THRESHOLD)
 
@@ -123,6 +130,23 @@ def edge_scan(run: Run) -> DataFrame:
     return run.edges
 
 
+@query(o.of(o.EDGES, "SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, src_id, src_type, dst_id, dst_type, e_type, gid FROM edges"))
+def edge_file(run: Run) -> DataFrame:
+    """The edges written as tab-separated files, and read back in their order."""
+    folder = replay.own_folder(run.edges)
+    write_edges(run.edges, f"{folder}/edges")
+    return read_edges(run.spark, f"{folder}/edges")
+
+
+@query(o.of(o.EDGES, f"SELECT cluster_id, gid, CAST({THRESHOLD} AS DOUBLE) AS threshold, CAST({GLOBAL_THRESHOLD} AS DOUBLE) AS global_threshold FROM boot"))
+def bootstrap_file(run: Run) -> DataFrame:
+    """The bootstrap clusters written as a file, and read back."""
+    path = f"{replay.own_folder(run.edges)}/clusters"
+    write_bootstrap(run.boot, run.thresholds, GLOBAL_THRESHOLD, path)
+    members, thresholds, global_threshold = read_bootstrap(run.spark, path)
+    return members.join(thresholds, "cluster_id").withColumn("global_threshold", F.lit(global_threshold))
+
+
 def _scenario_filter(name: str) -> None:
     scenarios = ", ".join(map(str, DATASETS[name]))
 
@@ -163,8 +187,7 @@ def edge_counters(run: Run) -> DataFrame:
 
 @query(o.of(o.EDGES, "SELECT gid, CASE WHEN n = 600 THEN CASE WHEN gid BETWEEN 300 AND 399 THEN 'attack' ELSE 'normal' END ELSE CASE WHEN gid >= n // 2 THEN 'attack' ELSE 'normal' END END AS label FROM (SELECT DISTINCT gid, max(gid) OVER () + 1 AS n FROM edges)"))
 def normal_attack_labels(run: Run) -> DataFrame:
-    graphs = run.edges.agg(F.max("gid")).first()[0] + 1
-    return selection.attack_labels(run.edges.select("gid").distinct(), graphs)
+    return selection.attack_labels(run.edges)
 
 
 # ---------------------------------------------------------------------------------------------- shingles
@@ -388,21 +411,33 @@ def streamed_chunk_delta(run: Run) -> DataFrame:
     return replay.streamed_chunk_deltas(run.test, run.config).drop("full_chunk")
 
 
-@query()
+FOLDED = (*CLUSTERED, o.fold(L, C, CONFIG.max_edges, min(GLOBAL_THRESHOLD, THRESHOLD)))
+STATES = o.of(*FOLDED, "SELECT seq, gid, cluster_id, round(score, 6) + 0.0 AS score FROM fold WHERE seq >= 0", recursive=True)
+SNAPSHOTS = o.of(*FOLDED, o.snapshots(CONFIG.snapshot_interval), 'SELECT "interval", gid, cluster_id, score FROM snaps', recursive=True)
+
+
+@query(STATES)
 def online_clusters(run: Run) -> DataFrame:
-    return run.online()[0]
+    return run.online()[0].withColumn("score", _round("score"))
 
 
-@query()
+@query(STATES)
 def streamed_online_clusters(run: Run) -> DataFrame:
     """The states of online_clusters by Structured Streaming."""
-    return replay.streamed_online_clusters(run.test, run.fold())
+    return replay.streamed_online_clusters(run.test, run.fold()).withColumn("score", _round("score"))
 
 
-@query()
+@query(SNAPSHOTS)
 def cluster_snapshots(run: Run) -> DataFrame:
     states, scores = run.online()
-    return snapshots.snapshots(stored(states), scores, selection.test_gids(run.edges, run.boot), run.config.snapshot_interval)
+    found = snapshots.snapshots(stored(states), scores, selection.test_gids(run.edges, run.boot), run.config.snapshot_interval)
+    return found.withColumn("score", _round("score"))
+
+
+@query(SNAPSHOTS)
+def streamed_snapshots(run: Run) -> DataFrame:
+    """The same, emitted by Structured Streaming every so many edges."""
+    return replay.streamed_snapshots(run.test, run.fold(), run.online()[1]).withColumn("score", _round("score"))
 
 
 @query(o.of(o.EDGES, "SELECT gid, place, CAST(place // 10 AS INTEGER) AS \"group\" FROM (SELECT gid, row_number() OVER (ORDER BY md5('23:' || gid), gid) - 1 AS place FROM (SELECT DISTINCT gid FROM test))"))
@@ -415,6 +450,26 @@ def interleaved_stream(run: Run) -> DataFrame:
     return interleave.interleave(selection.test_edges(run.edges, run.boot), run.config.parallel_graphs, run.config.seed)
 
 
+@query(o.of(o.EDGES, "SELECT gid, count(*) AS edges, true AS in_order, true AS in_group FROM test GROUP BY gid"))
+def interleaved_contract(run: Run) -> DataFrame:
+    """What an interleaved stream keeps: every edge once, each graph's edges in their order, and seq dense and by groups of graphs, one after another."""
+    before = selection.test_edges(run.edges, run.boot)
+    after = stored(interleave.interleave(before, run.config.parallel_graphs, run.config.seed))
+    groups = interleave.stream_groups(before, run.config.parallel_graphs, run.config.seed)
+    both = rank_within(before, ["gid"]).join(rank_within(after, ["gid"]).withColumnsRenamed({c: f"{c}_after" for c in before.columns if c != "gid"}), ["gid", "k"], "full")
+    same = F.lit(True)
+    for c in before.columns:
+        if c not in ("gid", "seq"):
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}_after"))
+    sizes = before.groupBy("gid").count().join(groups, "gid").groupBy("group").agg(F.sum("count").alias("n"))
+    places = sizes.select("group", (F.sum("n").over(W.orderBy("group")) - F.col("n")).alias("first"), "n")
+    placed = both.join(groups.select("gid", "group"), "gid").join(places, "group")
+    inside = (F.col("seq_after") >= F.col("first")) & (F.col("seq_after") < F.col("first") + F.col("n"))
+    kept = placed.groupBy("gid").agg(F.count("seq_after").alias("edges"), F.min(same).alias("in_order"), F.min(F.coalesce(inside, F.lit(False))).alias("inside"))
+    dense = after.agg((F.countDistinct("seq") == F.max("seq") + 1).alias("dense"), F.min("seq").alias("least"))
+    return kept.join(F.broadcast(dense)).select("gid", "edges", "in_order", (F.col("inside") & F.col("dense") & (F.col("least") == 0)).alias("in_group"))
+
+
 # ---------------------------------------------------------------------------------------------- banding
 
 BANDED = (*SKETCHED, o.banded(CONFIG.band_rows))
@@ -435,7 +490,14 @@ def lsh_components(run: Run) -> DataFrame:
     return lsh.lsh_components(stored(lsh.bands(sketches.sketch_bits(run.projected), run.config)))
 
 
+@query(o.of(*BANDED, "SELECT gid, band, bucket FROM banded WHERE gid NOT BETWEEN 300 AND 399"))
+def lsh_tables(run: Run) -> DataFrame:
+    """The buckets that the normal graphs alone are put into."""
+    banded, labels = run.labelled_bands()
+    return lsh.labelled(banded, labels, "normal")
+
+
 @query(o.of(*BANDED, "SELECT gid, NOT bool_or(hit) AS isolated FROM (SELECT b.gid, EXISTS (SELECT 1 FROM banded x WHERE x.band = b.band AND x.bucket = b.bucket AND x.gid NOT BETWEEN 300 AND 399) AS hit FROM banded b) GROUP BY gid"))
 def isolation_test(run: Run) -> DataFrame:
-    banded = stored(lsh.bands(sketches.sketch_bits(run.projected), run.config))
-    return lsh.isolated(banded, banded.filter("gid not between 300 and 399"))
+    banded, labels = run.labelled_bands()
+    return lsh.isolated(banded, lsh.labelled(banded, labels, "normal"))

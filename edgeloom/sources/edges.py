@@ -6,26 +6,44 @@ An edge is src_id, src_type, dst_id, dst_type, e_type, gid and seq, its place in
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from edgeloom.operators.ordering import dense_seq
+from edgeloom.files import write_file
 
 EDGE_FILE = "src_id long, src_type string, dst_id long, dst_type string, e_type string, gid int"
 COLUMNS = ("seq", "src_id", "src_type", "dst_id", "dst_type", "e_type", "gid")
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """A file of tab-separated edges in order of arrival. monotonically_increasing_id follows the order of one file's splits, which sets seq; several files have no order between them."""
+    """A file of tab-separated edges in order of arrival, or a folder of such files in the order of their names. A row's place is its file, the start of its split, and its
+    row of that split: the splits alone are put in order, and rows are ranked within theirs."""
     rows = spark.read.csv(path, sep="\t", schema=EDGE_FILE, mode="FAILFAST", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return dense_seq(rows.withColumn("seq", F.monotonically_increasing_id())).select(*COLUMNS)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    counts = placed.groupBy("_file", "_start").count()
+    before = counts.select("_file", "_start", (F.sum("count").over(W.orderBy("_file", "_start")) - F.col("count")).alias("_before"))
+    ranked = placed.withColumn("_rank", F.row_number().over(W.partitionBy("_file", "_start").orderBy("_row")))
+    return ranked.join(before, ["_file", "_start"]).withColumn("seq", (F.col("_before") + F.col("_rank") - 1).cast("long")).select(*COLUMNS)
 
 
-def write_edges(edges: DataFrame, path: str) -> None:
-    """Tab-separated parts, each sorted by seq and together in its order."""
-    rows = edges.repartitionByRange("seq").sortWithinPartitions("seq")
+def write_edges(edges: DataFrame, path: str, parts: int | None = None) -> None:
+    """Tab-separated parts, each sorted by seq and together in its order; as many as Spark finds fit, or `parts`."""
+    rows = (edges.repartitionByRange(parts, "seq") if parts else edges.repartitionByRange("seq")).sortWithinPartitions("seq")
     rows.select("src_id", "src_type", "dst_id", "dst_type", "e_type", "gid").write.csv(path, sep="\t", quote="")
 
 
+def write_bootstrap(members: DataFrame, thresholds: DataFrame, global_threshold: float, path: str) -> None:
+    """The file that read_bootstrap reads. Clusters and their listed graphs are the parameters of a run and few."""
+    listed: dict[int, list[int]] = {}
+    for r in members.orderBy("cluster_id", "gid").collect():
+        listed.setdefault(r["cluster_id"], []).append(r["gid"])
+    limits = {r["cluster_id"]: r["threshold"] for r in thresholds.collect()}
+    if sorted(limits) != list(range(len(limits))):
+        raise ValueError("cluster ids are 0, 1, 2, ...")
+    lines = [f"{len(limits)} {global_threshold}", *(" ".join(map(str, (limits[k], *listed.get(k, [])))) for k in sorted(limits))]
+    write_file(path, "".join(f"{x}\n" for x in lines).encode())
+
+
 def read_bootstrap(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, float]:
     """(cluster_id, gid), (cluster_id, threshold) and the global threshold. The file's first line is `clusters threshold`, each further one `threshold gid gid ...`; it is small and read whole."""
     lines = [r[0].split() for r in spark.read.text(path, wholetext=False).coalesce(1).collect()]

@@ -1,7 +1,9 @@
-"""The parallel half of the stream: chunk deltas with state per graph.
+"""The parallel half of the stream: chunk deltas with state per source node.
 
-The source's seq is dense over the stream, as in batches, so which edges are live is known without any state that graphs share. A graph's state holds, per source
-node, the live edges' seq (or only their number, where nothing is evicted) and what the last two chunks need.
+The source's seq is dense over the stream, as in batches, so which edges are live is known without any state that nodes share. A node's state holds
+the live edges' seq (or only their number, where nothing is evicted) and what the last two chunks need. seq + 1 is the stream's event time as well, in milliseconds: once
+the watermark has passed the last edge that was live, the node's state is dropped, whether or not the node ever gets another edge.
+Edges come in order of seq from one micro-batch to the next; within one they may come in any order. For many nodes, set spark.sql.streaming.stateStore.providerClass to RocksDB's.
 """
 
 from __future__ import annotations
@@ -12,8 +14,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from edgeloom.config import Config
+from edgeloom.operators.shingles import NODE
 from edgeloom.shipping import ship
 
 EDGE_SCHEMA = "seq long, src_id long, src_type string, dst_id long, dst_type string, e_type string, gid int"
@@ -63,15 +67,23 @@ def stream_chunk_deltas(edges: DataFrame, config: Config) -> DataFrame:
     c, held, most, consistent = config.chunk_length, config.chunk_length + 2, config.max_edges, config.odd_chunk_mode == "consistent"
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        nodes: dict[tuple[int, str], Node] = pickle.loads(state.get[0]) if state.exists else {}
+        if state.hasTimedOut:  # all its edges are dead
+            state.remove()
+            return
+        gid, kind = int(key[0]), key[2]
+        node: Node = pickle.loads(state.get[0]) if state.exists else Node(held)
         rows = pd.concat(list(frames)).sort_values("seq")
         out = []
-        for seq, src, kind, to, edge in zip(rows.seq, rows.src_id, rows.src_type, rows.dst_type, rows.e_type, strict=True):
-            node = nodes.setdefault((int(src), kind), Node(held))
-            n = node.add(int(seq), edge + to, most)
-            out.append((int(seq), int(key[0]), n, *chunks_after(node, n, kind, c, consistent)))
-        state.update((pickle.dumps(nodes),))
+        for seq, to, edge in zip(rows.seq.tolist(), rows.dst_type, rows.e_type, strict=True):
+            n = node.add(seq, edge + to, most)
+            out.append((seq, gid, n, *chunks_after(node, n, kind, c, consistent)))
+        state.update((pickle.dumps(node),))
+        if most is not None:
+            state.setTimeoutTimestamp(max(seq + 1 + most, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["seq", "gid", "n", "in_chunk", "out_chunk", "full_chunk"])
 
     ship(edges.sparkSession)
-    return edges.groupBy("gid").applyInPandasWithState(update, DELTAS, "nodes binary", "append", "NoTimeout")
+    if most is None:
+        return edges.groupBy(*NODE).applyInPandasWithState(update, DELTAS, "node binary", "append", "NoTimeout")
+    timed = edges.withColumn("at", F.timestamp_millis(F.col("seq") + 1)).withWatermark("at", "0 seconds")
+    return timed.groupBy(*NODE).applyInPandasWithState(update, DELTAS, "node binary", "append", "EventTimeTimeout")

@@ -11,7 +11,7 @@ from edgeloom.config import Config
 from edgeloom.operators.online import Fold
 from edgeloom.storage import shared_dir, stored
 from edgeloom.streaming.chunks import DELTAS, read_edge_stream, stream_chunk_deltas
-from edgeloom.streaming.online import STATES, start_online
+from edgeloom.streaming.online import Periodic, read_snapshots, read_states, start_online
 
 
 def own_folder(df: DataFrame) -> str:
@@ -44,4 +44,15 @@ def streamed_online_clusters(edges: DataFrame, fold: Fold, parts: int = 4) -> Da
     arrive(edges, f"{folder}/edges", parts)
     moved = stream_chunk_deltas(read_edge_stream(edges.sparkSession, f"{folder}/edges"), fold.config)
     start_online(moved, fold, f"{folder}/state", f"{folder}/out").awaitTermination()
-    return edges.sparkSession.read.schema(STATES).parquet(f"{folder}/out").select("seq", "gid", "cluster_id", "score")
+    return read_states(edges.sparkSession, f"{folder}/out")
+
+
+def streamed_snapshots(edges: DataFrame, fold: Fold, scores: DataFrame, parts: int = 4) -> DataFrame:
+    """operators.snapshots.snapshots of a dense table, emitted by Structured Streaming while its rows arrive. scores: of the listed graphs, before."""
+    folder = own_folder(edges)
+    arrive(edges, f"{folder}/edges", parts)
+    moved = stream_chunk_deltas(read_edge_stream(edges.sparkSession, f"{folder}/edges"), fold.config)
+    # the graphs are those of a run, as the listed ones are: the fold holds each of them anyway
+    periodic = Periodic(fold.config.snapshot_interval, {r["gid"]: r["score"] for r in scores.collect()}, [r["gid"] for r in edges.select("gid").distinct().collect()])
+    start_online(moved, fold, f"{folder}/state", f"{folder}/out", periodic).awaitTermination()
+    return read_snapshots(edges.sparkSession, f"{folder}/out", f"{folder}/state", periodic)
