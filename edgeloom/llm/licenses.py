@@ -5,10 +5,12 @@ There, the stretches are compared with the templates whose number of bigrams can
 b (d / (2 - d)) <= a <= b ((2 - d) / d). The window as long as the template that has the highest coefficient, trimmed or
 grown by a word at a time while that helps, is reported where it reaches the threshold.
 
-What lies before and after a window is looked through anew, so every copy of a notice is found. Windows that overlap are
-taken by the highest coefficient, of equal ones the longest, then the first by name; what a window that is not taken leaves free is looked through again.
+What lies before and after a window is looked through anew, so every copy of a notice is found. A window within another of the same license (a notice in
+the whole text) gives way to it; others that overlap are taken by the highest coefficient, of equal ones the longest, then the first by name. What a
+window that is not taken leaves free is looked through again.
 
-Results: a null or empty text has no licenses; all windows are reported that are taken; repeated rows are each reported.
+Results: a null or empty text has no licenses; all windows are reported that are taken; long texts are looked through whole; repeated rows are each
+reported; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +30,7 @@ THRESHOLD = 0.8
 #: Longest stretch, in words, that is compared at once; longer ones are worked off in overlapping parts.
 PART = 4096
 
-#: Notices by which public licenses are commonly applied, under their SPDX names.
+#: Notices by which public licenses are commonly applied, and the whole texts of the short ones, under their SPDX names. Those of long ones come from files: see `read_texts`.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -38,19 +41,23 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "BSD-2-Clause": (
         "Licensed under the BSD 2-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ),
     "ISC": (
         "Licensed under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
@@ -108,6 +115,15 @@ class Template:
         self.anchors = ANCHORS & {*self.words} or frozenset(self.words)
 
 
+def read_texts(paths: dict[str, str]) -> dict[str, tuple[str, ...]]:
+    """The templates, with whole license texts beside them. paths: files of the driver by SPDX name, such as the folder of common licenses that a system keeps; their texts go to the tasks."""
+    found = dict(TEMPLATES)
+    for name, path in paths.items():
+        with open(path, encoding="utf-8", errors="replace") as file:
+            found[name] = (*found.get(name, ()), file.read())
+    return found
+
+
 @functools.lru_cache(maxsize=4)
 def templates_of(threshold: float, own: tuple[tuple[str, tuple[str, ...]], ...] | None = None) -> list[Template]:
     out = [Template(name, text, threshold) for name, texts in (own or tuple(TEMPLATES.items())) for text in texts]
@@ -121,6 +137,9 @@ def best_window(words: list[str], template: Template, threshold: float) -> tuple
         return None
     width = min(template.n, n)
     grams = [g if g in template.grams else None for g in zip(words, words[1:])]
+    # a window of a bigrams at the threshold shares threshold * (a + size) / 2 of them at least, and a is `least` at least
+    if 2 * sum(g is not None for g in grams) < threshold * (template.least + template.size) - 1e-9:
+        return None
     inside, shared, best = Counter(), 0, (0.0, 0, 0)
 
     def enter(g: Gram | None) -> int:
@@ -198,9 +217,9 @@ def licenses_of(text: str, threshold: float = THRESHOLD, own: tuple | None = Non
     queue = [(t, a, z) for t in templates for a, z in stretches(sorted(i for x in t.anchors for i in at.get(x, ())), int(t.most) + 2, len(words))]
     while queue:
         found = {(t.name, d, a + s, a + e): t for t, a, z in queue for d, s, e in all_windows(words[a:z], t, threshold)}
-        queue, lost = [], []
+        queue, lost, inside = [], [], _inside(found)
         for x in sorted(found, key=lambda x: (-x[1], x[2] - x[3], x[0], x[2])):
-            if all(x[2] >= y[3] or y[2] >= x[3] for y in taken):
+            if x not in inside and all(x[2] >= y[3] or y[2] >= x[3] for y in taken):
                 taken.append(x)
             else:
                 lost.append(x)
@@ -212,6 +231,18 @@ def licenses_of(text: str, threshold: float = THRESHOLD, own: tuple | None = Non
     return sorted(((n, d, places[s][0], places[e - 1][1]) for n, d, s, e in taken), key=lambda x: (x[2], x[0]))
 
 
+def _inside(windows: Iterable[tuple[str, float, int, int]]) -> set[tuple[str, float, int, int]]:
+    """Those that lie within a longer one of the same license."""
+    out, reach = set(), {}
+    for x in sorted(windows, key=lambda x: (x[2], -x[3])):
+        start, end = reach.get(x[0], (0, -1))
+        if x[3] <= end and (x[2], x[3]) != (start, end):
+            out.add(x)
+        elif x[3] > end:
+            reach[x[0]] = x[2], x[3]
+    return out
+
+
 def _free(taken: list[tuple[str, float, int, int]], a: int, z: int, n: int) -> list[tuple[int, int]]:
     """What no window that is taken holds of a..z."""
     out, at = [], max(0, a)
