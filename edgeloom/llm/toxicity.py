@@ -2,7 +2,8 @@
 
 The categories are predicted one after another by linear models over the words of the whole text (each word's share of them); each model also sees the probabilities that the
 earlier ones gave. In training these are out-of-fold predictions, so that a later model learns how the earlier ones do on rows they have not seen.
-Categories before the last are kinds of insult, labelled where a toxic row has one of their seed words; the last is the table's own label.
+Categories before the last are kinds of insult, which are learned as clusters of the toxic rows by their terms: a kind's seed words only name it and say where its
+cluster starts, and rows without any of them join the cluster whose terms they share. The last category is the table's own label.
 
 A longer text is scored by overlapping parts of PART words, and has the probabilities of the part whose last one is the largest, so what stands round a passage
 never hides it.
@@ -10,7 +11,8 @@ never hides it.
 Only words that toxic rows have more often are features, and weights are not negative: what a text lacks never makes it toxic.
 
 Results: a null or empty text has no words and gets the models' base rates; rows are flagged at THRESHOLD of the last category; labels that are null
-are not learned from, and of several for an id the largest counts; without labels of both classes nothing is flagged.
+are not learned from, and of several for an id the largest counts; without labels of both classes nothing is flagged. Very long texts are scored whole, part by
+part; of parts with equal probabilities the first counts; repeated rows are each scored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +41,10 @@ PART = 300
 #: Share of a text's words at which a term counts in full.
 SHARE = 0.01
 
-#: Kinds of insult and their seed words, in the order of the chain.
+#: Rounds in which the clusters of toxic rows settle, and the share of its best cluster's likeness from which on a row is of another kind too.
+ROUNDS, ALSO = 10, 0.8
+
+#: Kinds of insult and the words that their clusters start from, in the order of the chain.
 CATEGORIES: dict[str, tuple[str, ...]] = {
     "insult": ("idiot", "moron", "stupid", "dumb", "fool", "clown", "loser"),
     "contempt": ("pathetic", "worthless", "disgusting", "scum", "trash", "garbage", "vermin"),
@@ -134,6 +140,33 @@ def logistic(x: Sparse, y: np.ndarray, among: np.ndarray, ridge: float = RIDGE,
     return w, b
 
 
+def kinds_of(x: np.ndarray, starts: list[np.ndarray]) -> np.ndarray:
+    """Rows by kinds, 1 where a row is of the kind: spherical k-means of rows that hold weights of terms. starts: the columns that a kind begins with.
+
+    A kind none of whose columns is in any row begins with the heaviest column of the rows that no other kind has. A row without likeness to any kind is of none.
+    """
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    rows = x / np.where(norms > 0, norms, 1)
+    centers = np.zeros((len(starts), x.shape[1]))
+    for k, columns in enumerate(starts):
+        held = x[:, columns].sum(axis=1) > 0 if len(columns) else np.zeros(len(x), bool)
+        if held.any():
+            centers[k, columns] = rows[held][:, columns].sum(axis=0)
+    for k in range(len(starts)):
+        if not centers[k].any():
+            free = x[(rows @ centers.T <= 0).all(axis=1)].sum(axis=0) if len(x) else np.zeros(0)
+            if free.size and free.max() > 0:
+                centers[k, int(free.argmax())] = 1
+    for _ in range(ROUNDS):
+        size = np.linalg.norm(centers, axis=1, keepdims=True)
+        likeness = rows @ (centers / np.where(size > 0, size, 1)).T
+        best = likeness.max(axis=1, initial=0)
+        own = (likeness == best[:, None]) & (best > 0)[:, None]
+        fresh = own.astype(np.float64).T @ rows
+        centers = np.where(fresh.any(axis=1, keepdims=True), fresh, centers)
+    return (likeness >= ALSO * best[:, None]) & (likeness > 0)
+
+
 def fit_samples(terms_of: pa.Array, counts: pa.Array, lengths: np.ndarray, toxic: np.ndarray, categories: dict[str, tuple[str, ...]] | None = None) -> Chain | None:
     """terms_of, counts: lists of each row's terms and how often it has them; lengths: words of each row; toxic: 0 or 1."""
     categories = CATEGORIES if categories is None else categories
@@ -156,11 +189,14 @@ def fit_samples(terms_of: pa.Array, counts: pa.Array, lengths: np.ndarray, toxic
         place[i] = vocabulary.get(names[int(i)].as_py(), -1)
     held = place[code] >= 0
     x = Sparse(owner[held], place[code[held]], np.minimum(1, counts.flatten().to_numpy()[held] / (SHARE * np.maximum(1, lengths[owner[held]]))), (n, len(vocabulary)))
-    targets = []
-    for seeds in categories.values():
-        hit = np.zeros(n, bool)
-        hit[owner[np.asarray(pa.compute.is_in(words.dictionary, pa.array(seeds)))[code]]] = True
-        targets.append((hit & (toxic > 0)).astype(np.float64))
+    # what a toxic row holds of each term, by how much more toxic rows have the term
+    weight = np.array([-v for v, _ in chosen]) ** 2
+    dense = np.zeros((n, len(vocabulary)))
+    dense[x.rows, x.cols] = x.values * weight[x.cols]
+    starts = [np.array(sorted({vocabulary[t] for w in seeds for t in (w, w[:STEM] + "*") if t in vocabulary}), np.int64) for seeds in categories.values()]
+    kinds = np.zeros((n, len(categories)))
+    kinds[toxic > 0] = kinds_of(dense[toxic > 0], starts)
+    targets = list(kinds.T)
     targets.append(toxic.astype(np.float64))
     names = [*categories, LAST]
     fold = np.arange(n) % FOLDS
@@ -178,7 +214,7 @@ def fit_samples(terms_of: pa.Array, counts: pa.Array, lengths: np.ndarray, toxic
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Chain | None:
-    """A chain of at most TOXIC_ROWS and OTHER_ROWS labelled rows for which `learn` (over the labels) holds; their words' counts come to the driver."""
+    """A chain of at most TOXIC_ROWS and OTHER_ROWS labelled rows for which `learn` (over the labels) holds, copies counting once; their words' counts come to the driver."""
     known = labels.filter(learn & labels[label_col].isNotNull() & labels[id_col].isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_label"))
     order = [F.xxhash64("_id"), F.col("_id")]
@@ -189,10 +225,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
         found = [terms(t) for t in texts_of(batch)]
         lists = [sorted(c) for c, _ in found]
         columns = [pa.array(lists, pa.list_(pa.string())), pa.array([[c[t] for t in ts] for ts, (c, _) in zip(lists, found, strict=True)], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int32())]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "label", "terms", "counts", "words"])
+        digests = pa.array(np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) for t in texts_of(batch)], np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, digests], names=["doc_id", "label", "terms", "counts", "words", "digest"])
 
-    sample = map_batches(rows, run, "doc_id long, label int, terms array<string>, counts array<int>, words int").orderBy(F.xxhash64("doc_id"), "doc_id", "terms", "counts").limit(2 * (TOXIC_ROWS + OTHER_ROWS)).toArrow()
-    sample = sample.combine_chunks()
+    sample = map_batches(rows, run, "doc_id long, label int, terms array<string>, counts array<int>, words int, digest long").orderBy(F.xxhash64("doc_id"), "doc_id", "terms", "counts").limit(2 * (TOXIC_ROWS + OTHER_ROWS)).toArrow()
+    # copies of a text are one example of a label, or their words would count as toxic by their number
+    once = np.unique(np.stack([sample["digest"].to_numpy(), sample["label"].to_numpy()]), axis=1, return_index=True)[1]
+    sample = sample.take(np.sort(once)).combine_chunks()
     column = lambda name: sample[name].combine_chunks() if sample.num_rows else pa.array([], sample.schema.field(name).type)
     return fit_samples(column("terms"), column("counts"), sample["words"].to_numpy(), sample["label"].to_numpy())
 

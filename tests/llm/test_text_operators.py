@@ -450,3 +450,45 @@ def test_license_edge_cases(spark):
     assert rows[len(ODD) + 1] == [] and [x["license"] for x in rows[len(ODD) + 2]] == ["Proprietary", "CC-BY-NC-4.0"] and rows[len(ODD) + 3] == []
     own = licenses.scan(docs, own={"X": ("words of the house may be used",)})
     assert own.count() == len(texts)
+
+
+def brute_best(words, template, threshold):
+    """The best coefficient of any stretch of words, every length that can reach the threshold at every place."""
+    least, most = int(template.least) + 1, int(template.most) + 2
+    best = 0.0
+    for width in range(least, min(most, len(words)) + 1):
+        for a in range(len(words) - width + 1):
+            best = max(best, licenses.dice(Counter(zip(words[a : a + width], words[a + 1 : a + width])), template.grams))
+    return best
+
+
+def test_long_templates_against_every_window():
+    rng = random.Random(9)
+    fill = "some other words of prose that stand around the text of a license for this test".split()
+    for name in ("MIT", "ISC", "BSD-2-Clause", "Apache-2.0"):
+        whole = max(licenses.TEMPLATES[name], key=len)
+        template = next(t for t in licenses.templates_of(0.8) if t.name == name and t.n == len(licenses.words_of(whole)[0]))
+        for lost in (0.0, 0.04, 0.09, 0.3):
+            words = [w for w in licenses.words_of(whole)[0] if rng.random() >= lost]
+            text = rng.choices(fill, k=6) + words + rng.choices(fill, k=6)
+            brute = brute_best(text, template, 0.8)
+            found = licenses.best_window(text, template, 0.8)
+            if found:  # the window as long as the template is the best of its length; growing and trimming may stop at a peak beside the highest
+                assert 0.8 <= found[0] <= brute + 1e-9 and found[0] >= brute - 0.02, (name, lost)
+            else:
+                assert brute < 0.82, (name, lost, brute)
+            if lost <= 0.04:
+                assert found and [x[0] for x in licenses.licenses_of(" ".join(text))] == [name]
+
+
+def test_whole_texts_from_files(tmp_path, spark):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 8))) for _ in range(1500)) + " under this license"
+    (tmp_path / "own.txt").write_text(text)
+    own = licenses.read_texts({"Own-1.0": str(tmp_path / "own.txt")})
+    assert own["MIT"] == licenses.TEMPLATES["MIT"]
+    words = text.split()
+    docs = frame(spark, [f"before {' '.join(words[:700] + words[720:])} after", "nothing here"])
+    rows = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs, own=own).collect()}
+    assert [x["license"] for x in rows[0]] == ["Own-1.0"] and rows[0][0]["dice"] > 0.98 and rows[1] == []
+    assert licenses.scan(docs.limit(0)).count() == 0 and len(licenses.scan(docs.unionByName(docs)).collect()) == 4
