@@ -33,9 +33,9 @@ from edgeloom.llm.common import id_and_text, map_batches, stored, texts_of, with
 
 WINDOW, LEAST, SLOTS, FIXED = 8, 5, 3, 2
 ENOUGH, COVERED = 13, 0.6
-#: Bits of the filter for each of the benchmark's windows, of which it sets two: about one foreign window in 70 passes. And windows up to which the benchmark is sent to
-#: every task instead of being shuffled.
-BITS_EACH, BROADCAST = 16, 200_000
+#: Bits of the filter for each of the benchmark's windows, which sets those at these shifts of its hash: about one foreign window in 2,000 passes. And windows up to which
+#: the benchmark is sent to every task instead of being shuffled.
+BITS_EACH, SHIFTS, BROADCAST = 24, (0, 13, 26, 39), 200_000
 #: Distinct words that a task keeps.
 WORDS = 500_000
 
@@ -48,6 +48,7 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
 _QUANTITY = re.compile(r"[+-]?[$€£]?\d[\d.,]*(?:%s)" % "|".join(sorted(UNIT_WORDS, key=len, reverse=True)))
 _EDGES = re.compile(r"^[^\w$€£+-]+|[^\w%]+$|^[+-]+(?!\d)|^\W+$")
 _ENDS = re.compile(r"[.!?:][\"'”’)\]]*$")
+_STOPS, _MARKS = frozenset(".!?:"), frozenset(["", *".!?:,;"])
 NONE, PLAIN, NUMBER, QUANTITY, UNIT, CAPITAL = range(6)
 #: Forms of a window: as it is, a template, a template in which a sentence begins with a name, either of them with more than SLOTS placeholders.
 AS_IS, TEMPLATE, BEGUN, RICH = FORMS = (0, 1, 2, 3)
@@ -58,6 +59,12 @@ _FACTORS = np.array([xxhash.xxh64_intdigest(str(i), 12) | 1 for i in range(WINDO
 
 def classify(word: str) -> tuple[str, int, bool]:
     """The core of a word, what it is, and whether a sentence ends with it. CAPITAL: a name unless it begins a sentence."""
+    # letters alone, or with one mark behind them, need none of the patterns
+    letters, mark = (word, "") if word.isalpha() else (word[:-1], word[-1:])
+    if mark in _MARKS and letters.isalpha():
+        low = letters.lower()
+        kind = NUMBER if low in NUMBER_WORDS else UNIT if low in UNIT_WORDS else CAPITAL if letters[0].isupper() and letters[1:].islower() else PLAIN
+        return low, kind, mark in _STOPS
     ends = bool(_ENDS.search(word))
     core = word
     while (less := _EDGES.sub("", core)) != core:
@@ -69,7 +76,7 @@ def classify(word: str) -> tuple[str, int, bool]:
         return low, NUMBER, ends
     if low in UNIT_WORDS:
         return low, UNIT, ends
-    if low[-1:].isalpha() and any(c.isdigit() for c in low) and _QUANTITY.fullmatch(low):
+    if low[-1:].isalpha() and _QUANTITY.fullmatch(low):
         return low, QUANTITY, ends
     return low, CAPITAL if core[0].isupper() and core[1:].islower() else PLAIN, ends
 
@@ -181,7 +188,7 @@ def _hits(ids: list, of_texts: list, texts: list[str], widths: list[int] | None,
             continue
         own_widths = [min(n, WINDOW)] if widths is None else [w for w in widths if w >= LEAST or w == n]
         pos, width, form, hashes, real, kinds, slot = windows_of(rows, own_widths)
-        for i in np.flatnonzero(wanted(hashes)) if wanted else range(len(hashes)):
+        for i in wanted(hashes) if wanted else range(len(hashes)):
             p, w, f = int(pos[i]), int(width[i]), int(form[i])
             if f and w < LEAST:
                 continue
@@ -202,22 +209,20 @@ def document_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id"
     """The windows of docs that pass the filter of the benchmark's hashes: all that meet one, and few others."""
     n = windows.select("hash").distinct().count()
     size = 1 << max(16, (BITS_EACH * n - 1).bit_length())
-    low, high = F.col("hash"), F.shiftright(F.col("hash"), 32)
-    at = windows.select(F.explode(F.array(low.bitwiseAND(F.lit(size - 1)), high.bitwiseAND(F.lit(size - 1)))).alias("at"))
+    at = windows.select(F.explode(F.array(*(F.shiftright("hash", k).bitwiseAND(F.lit(size - 1)) for k in SHIFTS))).alias("at"))
     filled = at.groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("bits")).toArrow()
     bits = np.zeros(size // 8, np.uint8)
     bits[filled["byte"].to_numpy()] = filled["bits"].to_numpy().astype(np.uint8)
     widths = sorted({r["width"] for r in windows.select("width").distinct().collect()})  # WINDOW and what is shorter
-    mask, three, seven = np.uint64(size - 1), np.uint64(3), np.uint64(7)
-
-    def has(at: np.ndarray) -> np.ndarray:
-        return (bits[at >> three] >> (at & seven).astype(np.uint8)) & 1
 
     def wanted(hashes: np.ndarray) -> np.ndarray:
-        found = np.flatnonzero(has(hashes & mask))
-        out = np.zeros(len(hashes), bool)
-        out[found] = has((hashes[found].view(np.int64) >> 32).view(np.uint64) & mask) > 0
-        return out
+        """Which may be the benchmark's: those whose every bit is set."""
+        found, left = np.arange(len(hashes)), hashes.view(np.int64)
+        for k in SHIFTS:
+            at = (left >> k) & (size - 1)
+            held = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            found, left = found[held], left[held]
+        return found
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         return _hits(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch), widths, wanted) if widths else None
