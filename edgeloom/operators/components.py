@@ -9,7 +9,7 @@ from edgeloom.storage import stored
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes: node (distinct), label; edges: a, b -> node, label: the smallest label of its component.
+    """nodes: node (distinct), label; edges: a, b -> node, label: the smallest label of its component, root: the smallest node that has it there.
 
     Each round takes the smallest (label, node) among the neighbours, then follows it to what that node has found (pointer
     jumping), so long chains take about log2 of their length. Labels only ever get smaller, so it settles however many rounds that takes.
@@ -25,4 +25,4 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         after = stored(step.join(jump, F.col("next.node") == F.col("to")).select("node", F.least("next", "far").alias("best"), (F.col("next") != F.col("best")).alias("moved")))
         state = after.select("node", "best")
         if after.filter("moved").isEmpty():
-            return state.select("node", "best.label")
+            return state.select("node", "best.label", F.col("best.node").alias("root"))
