@@ -1,4 +1,4 @@
-"""python -m edgeloom --edges FILE --bootstrap FILE --chunk-length N --num-parallel-graphs N [--max-num-edges N|inf] [--dataset all|ydc|gfc] [--out FOLDER]"""
+"""python -m edgeloom --edges FILE --bootstrap FILE --chunk-length N --num-parallel-graphs N [--max-num-edges N|inf] [--dataset all|ydc|gfc] [--out FOLDER] [--work-dir FOLDER]"""
 
 from __future__ import annotations
 
@@ -22,9 +22,10 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--max-num-edges", type=limit, default=None, help="edges that are live at a time; inf or 0: all")
     p.add_argument("--dataset", choices=sorted(DATASETS), default="all")
     p.add_argument("--out", help="folder for Parquet tables")
+    p.add_argument("--work-dir", help="folder for tables between stages, shared by all machines (spark.checkpoint.dir)")
     a = p.parse_args(argv)
     config = Config(chunk_length=a.chunk_length, parallel_graphs=a.num_parallel_graphs, max_edges=a.max_num_edges, dataset=a.dataset)
-    spark = report.session()
+    spark = report.session(work_dir=a.work_dir)
     members, thresholds, global_threshold = read_bootstrap(spark, a.bootstrap)
     result = report.run(read_edges(spark, a.edges), members, thresholds, global_threshold, config)
     for line in report.lines(result):

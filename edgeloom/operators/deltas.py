@@ -29,7 +29,12 @@ def live_counts(edges: DataFrame, max_edges: int | None) -> DataFrame:
 
 
 def chunk_deltas(edges: DataFrame, config: Config) -> DataFrame:
-    """seq, gid, n, in_chunk, out_chunk, full_chunk for every edge of a dense stream.
+    """What deltas_of gives, for every edge of a dense stream."""
+    return deltas_of(live_counts(edges, config.max_edges), config)
+
+
+def deltas_of(counted: DataFrame, config: Config) -> DataFrame:
+    """seq, gid, n, in_chunk, out_chunk, full_chunk for every edge, which has n (live_counts).
 
     in_chunk is the last chunk of the source's shingle after the edge, out_chunk what it replaces (null if nothing). Only the last chunk_length + 2 edges
     are gathered, which spell the last two chunks. full_chunk is null in the reference mode; in the consistent mode it is the chunk
@@ -38,7 +43,7 @@ def chunk_deltas(edges: DataFrame, config: Config) -> DataFrame:
     c = config.chunk_length
     held = c + 2
     # a hot node's edges are worked off by blocks of their rank, with the last ones before
-    ranked = with_context(rank_within(live_counts(edges, config.max_edges), NODE), "k", RANKS, held - 1)
+    ranked = with_context(rank_within(counted, NODE), "k", RANKS, held - 1)
     recent = W.partitionBy(*NODE, "_block").orderBy("k").rowsBetween(-(held - 1), 0)
     rows = ranked.withColumn("recent", F.collect_list(F.concat("e_type", "dst_type")).over(recent)).filter("_own")
     mine = F.slice("recent", -F.least(F.col("n"), F.size("recent").cast("long")).cast("int"), F.least(F.col("n"), F.lit(held)).cast("int"))

@@ -26,6 +26,12 @@ class Result:
     seconds: dict[str, float]
     edges: int
 
+    @property
+    def timings(self) -> DataFrame:
+        """phase, seconds, edges, us_per_edge: each phase reads and writes stored tables, so none does another's work."""
+        rows = [(name, s, self.edges, 1e6 * s / self.edges) for name, s in self.seconds.items()]
+        return self.states.sparkSession.createDataFrame(rows, "phase string, seconds double, edges long, us_per_edge double")
+
 
 def run(edges: DataFrame, members: DataFrame, thresholds: DataFrame, global_threshold: float, config: Config, shuffled: bool = True, allow_duplicates: bool = False) -> Result:
     """Bootstrap clusters from the listed graphs, then stream all others. shuffled: draw the order of arrival; else the edges' own seq is it. Stages are timed as wholes, in seconds."""
@@ -48,7 +54,9 @@ def run(edges: DataFrame, members: DataFrame, thresholds: DataFrame, global_thre
     centers = stored(centroids.centroids(projected, members, config.sketch_bits))
     scores = stored(centroids.train_scores(sketches.sketch_words(projected), members, centroids.centroid_words(centers), config.sketch_bits))
     lap("bootstrap")
-    moved = stored(deltas.chunk_deltas(test, config))
+    counted = stored(deltas.live_counts(test, config.max_edges))
+    lap("graphs")
+    moved = stored(deltas.deltas_of(counted, config))
     lap("shingles")
     states = stored(online.online_clusters(moved, online.start(config, members, centers, thresholds, global_threshold)))
     lap("sketches and clusters")
@@ -75,9 +83,11 @@ def lines(result: Result) -> Iterator[str]:
 
 def write(result: Result, folder: str) -> None:
     """The same as Parquet tables."""
-    for name in ("sizes", "snapshots", "states", "scores"):
+    for name in ("sizes", "snapshots", "states", "scores", "timings"):
         getattr(result, name).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
 
 
-def session(name: str = "edgeloom") -> SparkSession:
-    return SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+def session(name: str = "edgeloom", work_dir: str | None = None) -> SparkSession:
+    """work_dir: the folder for tables between stages, which all machines share; a local master can do without."""
+    builder = SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
+    return (builder.config("spark.checkpoint.dir", work_dir) if work_dir else builder).getOrCreate()
