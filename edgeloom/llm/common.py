@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from edgeloom.shipping import ship
 from edgeloom.storage import shared_dir, stored
 
-__all__ = ["BATCH_ROWS", "crc_mod", "id_and_text", "map_batches", "shared_dir", "stored", "table", "texts_of", "tokenizer_path", "without_ids", "without_keys"]
+__all__ = ["BATCH_ROWS", "crc_mod", "id_and_text", "map_batches", "shared_dir", "stored", "table", "texts_of", "tokenizer_path", "without_keys"]
 
 #: Rows, and bytes of Arrow data, that a function gets at once. Spark's own batches are bounded in bytes by the application's
 #: spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless it says otherwise), which is never changed here.
@@ -62,11 +62,6 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 BROADCAST_IDS = 500_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is not among the distinct ids (column _id); all columns stay. A null id is an id."""
-    return without_keys(docs, ids, {"_id": docs[id_col]})
-
-
 def without_keys(docs: DataFrame, ids: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """The rows of docs for which the keys (by column of ids) are not among the distinct ids; all columns stay. A null is a value."""
     ids = stored(ids)

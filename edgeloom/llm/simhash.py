@@ -11,8 +11,8 @@ CROWD times what uniform bits have) is a crowd: it emits a spanning forest of it
 pairs, and a large one is reduced by hubs first (see `links`). Components come from label propagation with pointer jumping over tables stored in the shared folder.
 
 Results: a null or empty text (or one of white space) has fingerprint zero and is linked like any other; an empty table gives
-an empty result; repeated rows are kept, each with its fingerprint; ties of labels cannot occur (labels are ids); null ids
-take part as copies but never name a component that has another id.
+an empty result; repeated rows are kept, each with its fingerprint; very long texts are hashed whole, some thousand shingles at a time; ties of labels cannot occur
+(labels are ids); null ids take part as copies but never name a component that has another id. `keep_one` leaves one row of a group, whatever ids its rows have.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_and_text, map_batches, stored, without_ids
+from edgeloom.llm.common import id_and_text, map_batches, stored, without_keys
 from edgeloom.operators.components import components
 from edgeloom.shipping import ship
 
@@ -65,13 +65,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, digest (of the text, to tell texts of one id apart), fp (the 64 bits as a signed long)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t or "", shingle) for t in batch.column(1).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        fps = np.array([fingerprint(t or "", shingle) for t in batch.column(2).to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "digest", "fp"])
 
-    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long")
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    return map_batches(rows, run, "doc_id long, digest long, fp long")
 
 
 # ---------------------------------------------------------------------------------------------- the partition
@@ -325,6 +326,12 @@ def _forests(distance: int):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """doc_id, fp, component_id for every row: the smallest doc_id reachable over links of at most `distance` bits."""
+    prints, named = _named(docs, id_col, text_col, distance, shingle, hot)
+    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, distance: int = DISTANCE, shingle: int = SHINGLE, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """doc_id, digest (of the text), fp of every row; and fp, component_id, root (a fingerprint that tells the component, if it has no id) of every fingerprint."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("label")))
     total = nodes.count()
@@ -334,18 +341,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = stored(links(nodes.select("fp"), plan, total, distance, hot))
     touched = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
     linked = nodes.join(touched, "fp", "left_semi").select(F.col("fp").alias("node"), F.coalesce("label", F.lit(_LAST)).alias("label"))
-    found = components(linked, edges).select(F.col("node").alias("fp"), F.col("label").alias("reached"))
-    named = stored(nodes.join(found, "fp", "left").select("fp", F.nullif(F.coalesce("reached", "label"), F.lit(_LAST)).alias("component_id")))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    found = components(linked, edges).select(F.col("node").alias("fp"), F.col("label").alias("reached"), "root")
+    named = nodes.join(found, "fp", "left").select("fp", F.nullif(F.coalesce("reached", "label"), F.lit(_LAST)).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints, stored(named)
 
 
 _LAST = (1 << 63) - 1
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those of ids that name no component: one document of each group stays (the smallest id; of repeated rows of that id, all). Rows with a null id stay."""
-    named = near_duplicates(docs, id_col, text_col).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"))
-    return without_ids(docs, named.filter(~F.col("names")).select("_id"), id_col)
+    """One row of docs of each group: that of the smallest id, null last, and of several texts under it that of the smallest digest; of rows that repeat both, any one. All columns stay."""
+    prints, named = _named(docs, id_col, text_col)
+    texts = prints.join(named.select("fp", "root"), "fp").groupBy("doc_id", "digest", "root").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    first = texts.groupBy("root").agg(F.min(order).alias("best"), F.sum("n").alias("rows")).filter("rows > 1")
+    judged = stored(texts.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "n", (order == F.col("best")).alias("best")))
+    keys = {"_id": docs[id_col].cast("long"), "_digest": F.xxhash64(docs[text_col].cast("string"))}
+    kept = without_keys(docs, judged.filter("not best").select("_id", "_digest"), keys)
+    repeated = judged.filter("best and n > 1").select("_id", "_digest")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, [key.eqNullSafe(repeated[name]) for name, key in keys.items()], "left_semi").dropDuplicates([id_col, text_col])
+    return without_keys(kept, repeated, keys).unionByName(once)
 
 
 def fp_hex(fp: Column) -> Column:
