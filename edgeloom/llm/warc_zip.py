@@ -8,7 +8,8 @@ Reading: the end record, the ZIP64 locator and record and the central directory
 located, and single records are read by their byte ranges; nothing is extracted. A payload whose digest is not the recorded one is an error.
 
 Results: a null html is an empty payload; a null url is left out; a null id refers to the smallest id that has the payload, if any, and is
-never referred to; repeated rows each have their record, and rows of the smallest id are all responses; an empty table gives no records.
+never referred to; repeated rows each have their record, and rows of the smallest id are all responses; a huge payload is a record and, if it fills one, an archive of its own;
+an empty table gives no records.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ from edgeloom.shipping import ship
 ARCHIVE = 8 << 20
 #: Payloads of this many bytes on are revisited.
 SMALLEST = 0
-SALTS = 16
+#: Payloads that occur again, up to which they are sent to every task.
+BROADCAST = 500_000
 _DATE = "2020-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:page:"
@@ -205,10 +207,11 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     spark = pages.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/edgeloom-{spark.sparkContext.applicationId}/archives-{uuid.uuid4().hex}"
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("binary"), F.lit("").cast("binary")).alias("html")).withColumn("sha1", F.sha1("html"))
-    # only payloads that occur again are joined; each is under every salt, so one payload's pages are spread over tasks
+    # only payloads that occur again are joined: pages stay where they are while these are few enough to be sent to every task; beyond that pages are shuffled
+    # once, and adaptive execution splits a payload that many pages have
     again = rows.filter(F.length("html") >= smallest).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("sha1", "first")
-    again = stored(again).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(again, ["sha1", "salt"], "left")
+    again = stored(again)
+    joined = rows.join(F.broadcast(again) if again.count() <= BROADCAST else again, "sha1", "left")
     own = F.col("first").isNull() | F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
     joined = joined.select("page_id", "url", "html", "sha1", F.when(~own, F.col("first")).alias("refers_to"))
     ship(spark)
