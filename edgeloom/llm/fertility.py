@@ -1,16 +1,18 @@
 """Quality rules with tokeniser fertility.
 
-Every word of a text is encoded by a public sentence-piece vocabulary with byte fallback, each distinct word once per task. A text's characters per
-token, the share of its tokens that are byte fallback, and the entropy of its tokens are held against bands of the script that most of its
-letters have. The base rules (word count, repeated windows) reject first.
+Every word of a text is encoded by public vocabularies of two kinds, a sentence-piece one with byte fallback and a byte-level one, each distinct word once per task. By
+each, a text's characters per token, the share of its tokens that are bytes of characters without pieces, and the entropy of its tokens are held against
+bands of the script that most of its letters have; a text that any of them is outside of is rejected. The base rules (word count, repeated windows) reject first.
 
 Words are what ASCII white space parts. Results: a null or empty text has no words, fails the base and is not kept; texts without
-tokens have measures of 0; texts of fewer tokens than the entropy band begins with are not held against it. Repeated rows are each measured.
+tokens have measures of 0; texts of fewer tokens than the entropy band begins with are not held against it; very long texts are measured whole; of scripts with as many
+letters the first of the list counts. Repeated rows are each measured; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import re
 from dataclasses import dataclass
 
@@ -18,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from edgeloom.llm.bpe import byte_chars
 from edgeloom.llm.common import id_and_text, map_batches, texts_of, tokenizer_path
 
-VOCABULARY = "piece_bpe_32k.model"
+VOCABULARY, SECOND = "piece_bpe_32k.model", "byte_bpe_50k.json"
 WORDS = 400_000
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -53,6 +56,15 @@ BANDS = {
     "arabic": Band(0.4, 5.0, 0.70, ((64, 3.0), (1000, 4.0))),
     "other": Band(0.2, 6.0, 0.98, ((64, 2.5), (1000, 3.0))),
 }
+#: The same for the byte-level vocabulary, which writes most scripts other than Latin in bytes. The entropy points of Latin letters are those of fit_band.
+SECOND_BANDS = {
+    "latin": Band(1.60, 9.0, 0.10, ((152, 5.47), (215, 5.51), (304, 5.75), (431, 5.77), (609, 5.96), (861, 6.03), (1218, 6.16), (1722, 6.23), (2435, 6.30), (3444, 6.34))),
+    "cyrillic": Band(0.8, 8.0, 0.90, ((64, 3.0), (1000, 4.0))),
+    "greek": Band(0.4, 6.0, 1.0, ((64, 2.5), (1000, 3.5))),
+    "cjk": Band(0.2, 4.0, 1.0, ((64, 2.5), (1000, 3.5))),
+    "arabic": Band(0.4, 5.0, 1.0, ((64, 2.5), (1000, 3.5))),
+    "other": Band(0.1, 6.0, 1.0, ((64, 2.0), (1000, 2.5))),
+}
 _SCRIPTS = [
     ("latin", re.compile("[A-Za-z\xaa\xba\xc0-\xd6\xd8-\xf6\xf8-ɏḀ-ỿ]")),
     ("cyrillic", re.compile("[Ѐ-ԯ]")),
@@ -73,21 +85,67 @@ def script_of(text: str) -> str:
     return best if counts[best] > 0 and counts[best] >= rest else "other"
 
 
-class Pieces(dict):
-    """word (bytes) -> row of its tokens; encoded once when it first comes."""
+class Vocabulary:
+    """A public vocabulary, and the tokens of a table's words by rows."""
 
     def __init__(self, path: str):
-        import sentencepiece
+        if path.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+            self.encode = lambda words: model.encode(words, num_threads=1)
+        else:
+            from tokenizers import Tokenizer
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+            model = Tokenizer.from_file(path)
+            ids = model.get_vocab(with_added_tokens=True)
+            self.is_byte = np.zeros(max(ids.values()) + 1, bool)
+            # the stand-ins of the bytes from 128 on, which are no characters by themselves
+            for byte, char in byte_chars().items():
+                if byte >= 128 and char in ids:
+                    self.is_byte[ids[char]] = True
+            # a word as it stands in running text, with the space before
+            self.encode = lambda words: [x.ids for x in model.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
+        self.forget()
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.size = self.model.get_piece_size()
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
+    def forget(self) -> None:
+        self.flat, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        ids = self.encode(words)
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lens.sum()))])
+        self.lens = np.concatenate([self.lens, lens])
+
+    def measures(self, rows: np.ndarray, chars: int) -> tuple[float, float, float, int]:
+        """Characters per token, share of byte tokens, entropy in bits, and number of tokens of a text of the words at these rows."""
+        lens = self.lens[rows]
+        total = int(lens.sum())
+        if not total:
+            return 0.0, 0.0, 0.0, 0
+        ends = np.cumsum(lens)
+        ids = self.flat[np.repeat(self.starts[rows] - ends + lens, lens) + np.arange(total)]
+        ids.sort()
+        counts = np.diff(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True]))))
+        p = counts / total
+        return chars / total, float(self.is_byte[ids].sum()) / total, float(-(p * np.log2(p)).sum()) + 0.0, total
+
+
+class Pieces(dict):
+    """word (bytes) -> row of its tokens in each vocabulary; encoded once when it first comes."""
+
+    def __init__(self, *paths: str):
+        self.vocabularies = [Vocabulary(p) for p in paths]
         self.forget()
 
     def forget(self) -> None:
         self.clear()
         self.pending: list[bytes] = []
-        self.flat, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for v in self.vocabularies:
+            v.forget()
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self)
@@ -96,17 +154,15 @@ class Pieces(dict):
 
     def settle(self) -> None:
         if self.pending:
-            ids = self.model.encode([w.decode("utf-8", "replace") for w in self.pending], num_threads=1)
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lens.sum()))])
-            self.lens = np.concatenate([self.lens, lens])
+            words = [w.decode("utf-8", "replace") for w in self.pending]
+            for v in self.vocabularies:
+                v.learn(words)
             self.pending = []
 
 
 @functools.lru_cache(maxsize=2)
-def pieces_of(path: str) -> Pieces:
-    return Pieces(path)
+def pieces_of(*paths: str) -> Pieces:
+    return Pieces(*paths)
 
 
 def repeated_words(rows: np.ndarray, window: int = WINDOW) -> int:
@@ -144,8 +200,16 @@ def duplicate_lines(text: str) -> int:
 _FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("script", pa.string()), ("chars_per_token", pa.float64()), ("byte_share", pa.float64()), ("token_entropy", pa.float64())]
 
 
-def measure(texts: list[str], table: Pieces, bands: dict[str, Band]) -> list[tuple]:
-    """A row of _FIELDS for each text."""
+_MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+
+
+def fields(vocabularies: int) -> list[tuple[str, pa.DataType]]:
+    """_FIELDS, and the measures by the vocabularies after the first under their names with a number."""
+    return _FIELDS + [(f"{m}_{k}", pa.float64()) for k in range(2, vocabularies + 1) for m in _MEASURES]
+
+
+def measure(texts: list[str], table: Pieces, *bands: dict[str, Band]) -> list[tuple]:
+    """A row of fields for each text. bands: those of each vocabulary."""
     words = [np.fromiter(map(table.__getitem__, w), np.int64, len(w)) for w in (t.encode("utf-8", "surrogatepass").split() for t in texts)]  # bytes.split parts at ASCII white space, as is wanted here
     table.settle()
     out = [_measure(t, rows, table, bands) for t, rows in zip(texts, words, strict=True)]
@@ -154,36 +218,43 @@ def measure(texts: list[str], table: Pieces, bands: dict[str, Band]) -> list[tup
     return out
 
 
-def _measure(text: str, rows: np.ndarray, table: Pieces, bands: dict[str, Band]) -> tuple:
+def _measure(text: str, rows: np.ndarray, table: Pieces, bands: tuple[dict[str, Band], ...]) -> tuple:
     n = len(rows)
     chars = len(text) - sum(text.count(c) for c in _WHITE)
     repeated = repeated_words(rows)
     failed = n < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n
-    lens = table.lens[rows]
-    total = int(lens.sum())
-    per = share = entropy = 0.0
-    if total:
-        ends = np.cumsum(lens)
-        ids = table.flat[np.repeat(table.starts[rows] - ends + lens, lens) + np.arange(total)]
-        ids.sort()
-        counts = np.diff(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True]))))
-        p = counts / total
-        per, share, entropy = chars / total, float(table.is_byte[ids].sum()) / total, float(-(p * np.log2(p)).sum()) + 0.0
     script = script_of(text)
-    band = bands.get(script) or bands["other"]
-    good = band.chars_low <= per <= band.chars_high and share <= band.bytes_high and entropy >= band.entropy_low(total)
-    return n, chars, sum(text.count(c) for c in SYMBOLS), duplicate_lines(text), repeated, failed, bool(not failed and good), script, per, share, entropy
-
-
-def assess(docs: DataFrame, path: str | None = None, bands: dict[str, Band] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id with the base counts, the method's measures, and the verdict, for every whole text."""
-    file, bands = path or tokenizer_path(VOCABULARY), bands or BANDS
+    good, found = True, []
+    for vocabulary, own in zip(table.vocabularies, bands, strict=True):
+        per, share, entropy, total = vocabulary.measures(rows, chars)
+        band = own.get(script) or own["other"]
+        good &= band.chars_low <= per <= band.chars_high and share <= band.bytes_high and entropy >= band.entropy_low(total)
+        found += [per, share, entropy]
+    return n, chars, sum(text.count(c) for c in SYMBOLS), duplicate_lines(text), repeated, failed, bool(not failed and good), script, *found
+
+
+def fit_band(per: np.ndarray, share: np.ndarray, entropy: np.ndarray, tokens: np.ndarray, tail: float = 0.0005, slack: float = 0.03) -> Band:
+    """The band that all but `tail` of some good texts of a script lie in, with `slack` of each bound beyond. The entropy band has a point for each half octave of tokens from 64 on
+    that has 50 texts or more, and never falls with them. Labelled rows of quality 1 whose crc32 modulo 5 is not 0 give SECOND_BANDS' points of Latin letters; bounds on characters per
+    token are left wider than what it finds, for texts with other words than these."""
+    points, at = [], np.floor(2 * np.log2(np.maximum(tokens, 1))).astype(int)
+    for k in range(12, int(at.max(initial=0)) + 1):
+        if (at == k).sum() >= 50:
+            low = float(np.quantile(entropy[at == k], tail)) * (1 - slack)
+            points.append((int(round(2 ** ((k + 0.5) / 2))), max([low, *(h for _, h in points)])))
+    return Band(float(np.quantile(per, tail)) * (1 - slack), float(np.quantile(per, 1 - tail)) * (1 + slack), max(0.02, float(np.quantile(share, 1 - tail)) * (1 + slack)), tuple(points) or ((1 << 62, 0.0),))
+
+
+def assess(docs: DataFrame, paths: tuple[str, ...] | None = None, bands: tuple[dict[str, Band], ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id with the base counts, the method's measures, and the verdict, for every whole text. bands: those of each vocabulary's file."""
+    files, bands = paths or (tokenizer_path(VOCABULARY), tokenizer_path(SECOND)), bands or (BANDS, SECOND_BANDS)
+    columns = fields(len(files))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = pieces_of(file)
+        table = pieces_of(*files)
         texts = texts_of(batch)
-        found = [row for at in range(0, len(texts), 64) for row in measure(texts[at : at + 64], table, bands)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kind) for c, (_, kind) in zip(zip(*found, strict=True), _FIELDS, strict=True))], names=["doc_id", *(f for f, _ in _FIELDS)])
+        found = [row for at in range(0, len(texts), 64) for row in measure(texts[at : at + 64], table, *bands)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kind) for c, (_, kind) in zip(zip(*found, strict=True), columns, strict=True))], names=["doc_id", *(f for f, _ in columns)])
 
     kinds = {pa.int64(): "long", pa.bool_(): "boolean", pa.string(): "string", pa.float64(): "double"}
-    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, " + ", ".join(f"{f} {kinds[k]}" for f, k in _FIELDS))
+    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, " + ", ".join(f"{f} {kinds[k]}" for f, k in columns))

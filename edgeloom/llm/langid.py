@@ -9,7 +9,8 @@ Characters are lower-cased and put into 64 classes (a-z their own, white space,
 n-gram is a code below 64^n.
 
 Results: a null text, or one without a letter, is `und` with score 0; so is every text where nothing could be learned.
-Ties go to the first language by name. Rows with a null id or language are never learned from.
+Ties go to the first language by name. Rows with a null id or language are never learned from. Very long texts are read whole: presence needs no more
+than their distinct n-grams. Repeated rows are each told; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from edgeloom.llm.common import id_and_text, map_batches, texts_of
 
 UNDETERMINED = "und"
-#: Bounds of the sample that is fitted: rows and landmarks per language, both in all, and languages (the most frequent).
-ROWS, LANDMARKS, ALL_ROWS, ALL_LANDMARKS, LANGUAGES = 300, 64, 6000, 1024, 256
+#: Bounds of the sample that is fitted: rows and landmarks per language, and both in all. A language has a landmark at least, so ALL_LANDMARKS is how many languages (the
+#: most frequent labels) the sample has room for.
+ROWS, LANDMARKS, ALL_ROWS, ALL_LANDMARKS = 300, 64, 6000, 1024
 RIDGE, SHARPNESS = 1e-4, 5.0
 _SIZES = (64, 64**2, 64**3)
 _DIMS = sum(_SIZES)
@@ -132,7 +134,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.filter(learn & docs[lang_col].isNotNull()).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     rows = rows.filter("text is not null and doc_id is not null")
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(ALL_LANDMARKS).collect()
     if not known:
         return None
     each = max(1, min(ROWS, ALL_ROWS // len(known)))

@@ -227,6 +227,28 @@ def test_empty_and_null_ids(spark):
     assert 3 in {r["doc_id"] for r in simhash.keep_one(docs).collect()} and 5 not in {r["doc_id"] for r in simhash.keep_one(docs).collect()}
 
 
+def test_one_row_of_a_group_stays_whatever_its_ids(spark):
+    a, near, b = "one two three four five six seven", "ONE two three four  five six seven", "quite other words stand in this one here"
+    rows = [(None, a, "x"), (4, a, "y"), (4, a, "z"), (4, b, "p"), (9, near, "q"), (None, b, "r"), (None, "alone among the rows without an id", "s"), (None, None, "t"), (7, "", "u"), (7, None, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    kept = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    groups = [{"x", "y", "z", "q"}, {"p", "r"}, {"s"}, {"t", "u", "v"}]
+    assert simhash.keep_one(docs).columns == docs.columns and sorted(len(g & {r[2] for r in kept}) for g in groups) == [1, 1, 1, 1] and len(kept) == 4
+    assert {(r[0], r[1]) for r in kept} >= {(4, a), (4, b), (None, "alone among the rows without an id")}
+
+
+def test_ids_to_be_taken_out_by_a_shuffle(spark, monkeypatch):
+    from edgeloom.llm import common
+
+    docs = spark.createDataFrame([(i if i else None, f"words of text {i} and some more", "s") for i in range(40)], "doc_id long, text string, _id string")
+    out = spark.createDataFrame([(None,), (3,), (17,)], "_id long")
+    left = []
+    for bound in (10, 0):
+        monkeypatch.setattr(common, "BROADCAST_IDS", bound)
+        left.append(sorted(r["doc_id"] for r in common.without_keys(docs, out, {"_id": docs["doc_id"]}).collect()))
+    assert left[0] == left[1] == [i for i in range(1, 40) if i not in (3, 17)]
+
+
 # ---------------------------------------------------------------------------------------------- WARC
 
 
@@ -263,6 +285,17 @@ def test_warc_payloads_round_trip_and_bounds(spark, tmp_path):
     assert warc_zip.read(warc_zip.write(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, 10])
+def test_warc_with_a_hot_payload(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(warc_zip, "BROADCAST", broadcast)
+    huge = "x" * 9_000_000
+    rows = [(i, "http://e.org/", "<p>hot</p>" if i % 3 else f"own {i}") for i in range(300)] + [(500, "http://e.org/", huge), (501, "http://e.org/", huge)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: r for r in queries.op4_warc(spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows) and found[501]["refers_to"] == 500 and found[500]["payload_bytes"] == len(huge)
+    assert all((found[i]["record_type"], found[i]["refers_to"]) == (("revisit", 1) if i % 3 and i > 1 else ("response", None)) for i in range(300))
+
+
 def test_zip64_directories_and_comments(tmp_path):
     body = b"stored bytes " * 50
     offset, name = 0, b"archive/data.warc.gz"
@@ -434,6 +467,13 @@ def test_recall_of_reparameterised_items(spark):
     assert len(found & right) >= 0.9 * len(right) and not found - right
 
 
+def test_words_of_letters_and_a_mark_are_as_by_the_patterns(monkeypatch):
+    words = ["Tom", "tom.", "TOM", "ten", "Ten,", "km", "hours!", "x", "É", "Éa:", "ß?", "a1", "12km", "3", "...", ".", "", "o'clock,", "tom.)", "don't", "Zwölf;", "ªb", "²", "McDonald", "$5", "-"]
+    quick = [templates.classify(w) for w in words]
+    monkeypatch.setattr(templates, "_MARKS", frozenset())
+    assert [templates.classify(w) for w in words] == quick
+
+
 def test_short_items_are_compared_whole(spark):
     docs = ["Yes, no!", "yes no and more", "say yes no", "One two three four", "one two three 5", "", "..."]
     assert set(leaks(spark, docs, ["yes no", "one two three four", "...", "tiny"])) == {(0, 0), (3, 1)}
@@ -486,6 +526,30 @@ def test_pipeline_equals_brute_force(spark, tmp_path, data):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "language_id" and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """No rows at all; and very long, repeated and null rows beside a column whose name the operators use."""
+    import corpus_pipeline
+
+    import hashlib
+
+    rng = random.Random(4)
+    words = {"en": "the river and morning was over this bridge with three windows".split(), "de": "der Fluss und Morgen war über diese Brücke mit drei Fenstern".split()}
+    prose = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, prose(lang, 30), lang, "s", 0, "k") for i, lang in enumerate(["en", "de"] * 30)]
+    long, twice = prose("en", 150_000), prose("de", 40)
+    rows += [(100, long, "en", "s", 0, "k"), (101, twice, "de", "s", 0, "k"), (101, twice, "de", "s", 0, "k"), (102, None, None, "s", 0, "k"), (None, prose("en", 50), None, "s", 0, "k")]
+    docs = spark.createDataFrame(rows, DOCS + ", hash string")
+    docs.write.parquet(f"{tmp_path}/full/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    for folder in ("full", "empty"):
+        bench(spark, [ITEM]).write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    found = [(r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, f"{tmp_path}/full").collect()]
+    ids = [i for i, _ in found]
+    assert ids.count(100) == ids.count(101) == ids.count(None) == 1 and 102 not in ids
+    assert dict(found)[100] == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_entry_lists_every_operator():
     import __spark_entry__
 

@@ -274,6 +274,54 @@ def test_fertility_measures_and_bands():
     assert fertility.script_of("привет мир") == "cyrillic" and fertility.script_of("日本語 ok") == "cjk" and fertility.script_of("𓀀𓀁") == "other" and fertility.script_of("") == "latin"
 
 
+def test_a_second_vocabulary_is_measured_like_the_first(spark):
+    import math
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(common.tokenizer_path(fertility.SECOND))
+    texts = ["the people who came to the river in the morning were told that every boat had left", "日本語 жизнь über naïve ok", "", "a"]
+    docs = frame(spark, texts)
+    rows = {r["doc_id"]: r for r in fertility.assess(docs).collect()}
+    high = {c for b, c in bpe.byte_chars().items() if b >= 128}
+    for i, text in enumerate(texts):
+        tokens = [t for w in text.split() for t in tokenizer.encode(f" {w}", add_special_tokens=False).tokens]
+        p = [n / len(tokens) for n in Counter(tokens).values()] if tokens else []
+        assert rows[i]["token_entropy_2"] == pytest.approx(-sum(x * math.log2(x) for x in p))
+        assert rows[i]["byte_share_2"] == pytest.approx(sum(t in high for t in tokens) / len(tokens) if tokens else 0)
+        assert rows[i]["chars_per_token_2"] == pytest.approx(len(text.replace(" ", "")) / len(tokens) if tokens else 0)
+    assert fertility.assess(docs.limit(0)).count() == 0
+
+
+def test_a_text_outside_of_any_band_is_rejected():
+    table = fertility.Pieces(*(common.tokenizer_path(v) for v in (fertility.VOCABULARY, fertility.SECOND)))
+    good = "the people who came to the river in the morning were told that every boat had left before sunrise and none would return until the evening"
+    wide = fertility.Band(0, 99, 1, ((64, 0.0),))
+    narrow = fertility.Band(50, 99, 1, ((64, 0.0),))
+    for bands, kept in (((wide, wide), True), ((narrow, wide), False), ((wide, narrow), False)):
+        row = fertility.measure([good], table, *({"latin": b, "other": b} for b in bands))[0]
+        assert row[6] == kept
+
+
+def test_fitted_bands_hold_the_texts_they_are_fitted_to():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(20, 5000, 4000)
+    per, share, entropy = rng.normal(4, 0.3, 4000), rng.random(4000) * 0.05, np.log2(tokens) * 0.6 + rng.normal(2, 0.1, 4000)
+    band = fertility.fit_band(per, share, entropy, tokens)
+    inside = (per >= band.chars_low) & (per <= band.chars_high) & (share <= band.bytes_high) & (entropy >= [band.entropy_low(int(n)) for n in tokens])
+    assert inside.mean() > 0.98 and [h for _, h in band.entropy] == sorted(h for _, h in band.entropy)
+    assert band.entropy_low(50) == 0.0 and fertility.fit_band(per[:5], share[:5], entropy[:5], tokens[:5]).entropy_low(10**6) == 0.0
+
+
+def test_held_out_quality_rows_pass_the_bands(spark, data):
+    rows = {r["doc_id"]: r for r in queries.op9_fertility(spark, data).collect()}
+    good = [r["doc_id"] for r in spark.read.parquet(f"{data}/labels.parquet").filter("quality = 1").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    good = [i for i in good if not rows[i]["base_failed"]]
+    assert good and sum(rows[i]["kept"] for i in good) >= 0.99 * len(good)
+
+
 # ---------------------------------------------------------------------------------------------- language
 
 
@@ -323,6 +371,8 @@ def test_quality_on_held_out_rows(spark, data):
     assert all(r["predicted"] == (1 if r["score"] >= 0.3 else 0) for r in rows.values())
     right = sum(rows[x["doc_id"]]["predicted"] == x["quality"] for x in labels)
     assert right >= 0.93 * len(labels)
+    held = [x for x in labels if rows[x["doc_id"]]["held_out"]]
+    assert held and sum(rows[x["doc_id"]]["predicted"] == x["quality"] for x in held) >= 0.93 * len(held)
 
 
 def test_rules_as_columns_equal_rules_as_arrays(spark, data):
