@@ -2,7 +2,10 @@
 
 Every stage takes all rows that its predecessor kept. All but the last return the columns of documents:
 language ID takes out rows whose language is not told; near-duplicates and documents with benchmark items are taken out; secrets are
-replaced; the last stage gives the token ids.
+replaced; the last stage gives the token ids, and what they decode to as a digest.
+
+Results: rows with a null or empty text go in the first stage, as no language is told of them; very long texts pass all stages whole; of repeated rows one stays, whatever their
+ids; ties between ids go to the smallest; columns beside those that a stage reads stay as they are, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each SimHash component stays."""
+    """One row of each SimHash component stays: that of the smallest id."""
     return simhash.keep_one(docs)
 
 
@@ -34,9 +37,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids."""
-    found = bpe.encode(docs)
-    return found.selectExpr("doc_id", "cast(size(ids) as bigint) as n_tokens", "ids")
+    """doc_id, n_tokens, ids, decoded_sha256 (of the text that the ids decode to)."""
+    found = bpe.decode(bpe.encode(docs))
+    return found.selectExpr("doc_id", "cast(size(ids) as bigint) as n_tokens", "ids", "sha2(text, 256) as decoded_sha256")
 
 
 STAGES = [
