@@ -307,3 +307,27 @@ def test_quality_long_ties_and_empty(spark):
     assert rule_ensemble.score(docs.limit(0), model).count() == 0 and rule_ensemble.fit(docs.limit(0), labels, F.lit(True)).rules == []
     both = labels.unionByName(labels.withColumn("quality", F.lit(0)))  # of labels that contradict one another the largest counts
     assert rule_ensemble.fit(docs, both, F.lit(True)).rules == model.rules
+
+
+# ---------------------------------------------------------------------------------------------- batches
+
+
+def test_parts_of_batches_are_bounded_in_rows_and_bytes():
+    from edgeloom.llm import common
+
+    texts = ["x" * 1_000_000] * 150 + ["y" * 20_000_000] + ["short"] * 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(common.slices(batch, 512))
+    assert sum(p.num_rows for p in parts) == len(texts) and [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or (p.num_rows <= 512 and p.nbytes <= common.BATCH_BYTES) for p in parts)
+    assert list(common.slices(batch.slice(0, 0), 5)) == []
+
+
+def test_operators_leave_the_session_as_it_is(spark, data):
+    from edgeloom.llm import queries
+
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"]
+    before = [spark.conf.get(n) for n in names]
+    for name in ("op1_secrets", "op4_warc", "op9_fertility", "op10_licenses"):
+        queries.QUERIES[name](spark, data).count()
+        assert [spark.conf.get(n) for n in names] == before, name
