@@ -13,21 +13,23 @@ pieces cut where no word can span; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import os
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_and_text, map_batches, stored, texts_of, tokenizer_path
+from edgeloom.llm.common import id_and_text, keeps, map_batches, stored, texts_of, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct words that a task keeps; at the bound it starts anew. It bounds memory only.
-WORDS = 400_000
+WORDS = 250_000
 #: Characters worked off at once.
 CHUNK = 1 << 20
 
@@ -144,12 +146,23 @@ def words_of(path: str) -> Words:
 @functools.lru_cache(maxsize=2)
 def pieces_of(path: str) -> pa.Array:
     """Row i: the bytes of id i."""
-    tokenizer = words_of(path).tokenizer
+    # read from the file: a task that decodes needs no tokenizer beside them
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
     byte = {c: b for b, c in byte_chars().items()}
-    out = [b""] * (max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1)
-    for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
+    out = [b""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
         out[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    return pa.array(out, pa.binary())
+    return pa.array(out, pa.large_binary())
+
+
+def _forget() -> None:
+    words_of.cache_clear()
+    pieces_of.cache_clear()
+
+
+keeps(__name__, _forget)
 
 
 def byte_chars() -> dict[int, str]:
@@ -159,39 +172,61 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def ids_of(texts: list[str], file: str) -> pa.ListArray:
+    """The ids of each text."""
+    ids, counts = words_of(file).encode(texts)
+    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
+
+
+def texts_of_ids(ids: pa.ListArray, file: str) -> list[str]:
+    """Each id joined to its piece by position, the pieces' bytes read as UTF-8 (what is none becomes U+FFFD). Null ids are none."""
+    flat = ids.flatten()
+    ends = np.concatenate(([0], np.cumsum(np.array([n or 0 for n in pa.compute.list_value_length(ids).to_pylist()], np.int64))))
+    texts = []
+    for first in range(0, len(ids), 64):  # a few texts' pieces at a time
+        last = min(first + 64, len(ids))
+        taken = pieces_of(file).take(flat.slice(ends[first], ends[last] - ends[first]))
+        offsets, data = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1), taken.buffers()[2]
+        for i in range(first, last):
+            a, z = (int(offsets[e - ends[first]]) for e in (ends[i], ends[i + 1]))
+            texts.append(data[a:z].to_pybytes().decode("utf-8", "replace") if z > a else "")
+    return texts
+
+
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>: the ids of every whole text."""
     file = path or tokenizer_path(VOCABULARY)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, counts = words_of(file).encode(texts_of(batch))
-        ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([batch.column(0), ids_of(texts_of(batch), file)], names=["doc_id", "ids"])
 
     return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids -> doc_id, ids, text: each id joined to its piece by position, the pieces' bytes read as UTF-8 (what is none becomes U+FFFD). Null ids are none."""
+    """doc_id, ids -> doc_id, ids, text: what the ids stand for."""
     file = path or tokenizer_path(VOCABULARY)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch.column(1)
-        flat = ids.flatten()
-        ends = np.concatenate(([0], np.cumsum(np.array([n or 0 for n in pa.compute.list_value_length(ids).to_pylist()], np.int64))))
-        texts, at = [], 0
-        for first in range(0, len(ids), 64):  # the offsets of a binary array are 32-bit
-            last = min(first + 64, len(ids))
-            taken = pieces_of(file).cast(pa.large_binary()).take(flat.slice(ends[first], ends[last] - ends[first]))
-            offsets, data = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1), taken.buffers()[2]
-            for i in range(first, last):
-                a, z = (int(offsets[e - ends[first]]) for e in (ends[i], ends[i + 1]))
-                texts.append(data[a:z].to_pybytes().decode("utf-8", "replace") if z > a else "")
-        return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts_of_ids(batch.column(1), file), pa.string())], names=["doc_id", "ids", "text"])
 
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded_sha256: the ids of every whole text, and the digest of what they decode to. Both are done where the text is, so neither ids nor decoded texts
+    go from one worker to another."""
+    file = path or tokenizer_path(VOCABULARY)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = ids_of(texts_of(batch), file)
+        digests = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts_of_ids(ids, file)]
+        return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(digests, pa.string())], names=["doc_id", "ids", "decoded_sha256"])
+
+    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, ids array<int>, decoded_sha256 string")
+
+
 def encode_by_join(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The same by one distinct-word table over all tasks: words with their positions are exploded, the distinct ones encoded once, and the ids
     joined back by word (words that come often are salted) and put in order by position. It shuffles every occurrence twice; a document's

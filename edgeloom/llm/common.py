@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import functools
 import os
 from collections.abc import Callable, Iterator
 
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from edgeloom.shipping import ship
 from edgeloom.storage import shared_dir, stored
 
-__all__ = ["BATCH_ROWS", "crc_mod", "id_and_text", "map_batches", "shared_dir", "stored", "table", "texts_of", "tokenizer_path", "without_keys"]
+__all__ = ["BATCH_ROWS", "crc_mod", "id_and_text", "keeps", "map_batches", "shared_dir", "stored", "table", "texts_of", "tokenizer_path", "without_keys"]
 
 #: Rows, and bytes of Arrow data, that a function gets at once. Spark's own batches are bounded in bytes by the application's
 #: spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless it says otherwise), which is never changed here.
@@ -44,15 +47,46 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(fn.__module__)
         for batch in batches:
             for part in slices(batch, rows):
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+        batch = part = out = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+#: How each module forgets what its tasks keep in a Python worker from one task to the next.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, forget: Callable[[], None]) -> None:
+    _kept[module] = forget
+
+
+def forget_others(module: str) -> None:
+    """A worker goes from stage to stage: it keeps the tables of the operator it works for alone."""
+    for name, forget in _kept.items():
+        if name != module:
+            forget()
+
+
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system, as idle workers stand beside those that run."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_libc(), "malloc_trim", None):
+        trim(0)
+
+
+@functools.lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    name = ctypes.util.find_library("c")
+    return ctypes.CDLL(name) if name else None
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A null text is an empty one."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

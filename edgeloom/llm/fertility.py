@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from edgeloom.llm.bpe import byte_chars
-from edgeloom.llm.common import id_and_text, map_batches, texts_of, tokenizer_path
+from edgeloom.llm.common import id_and_text, keeps, map_batches, texts_of, tokenizer_path
 
 VOCABULARY, SECOND = "piece_bpe_32k.model", "byte_bpe_50k.json"
-WORDS = 400_000
+WORDS = 250_000
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 _WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -165,6 +165,9 @@ def pieces_of(*paths: str) -> Pieces:
     return Pieces(*paths)
 
 
+keeps(__name__, pieces_of.cache_clear)
+
+
 def repeated_words(rows: np.ndarray, window: int = WINDOW) -> int:
     """Words inside a window of `window` words that the text has twice or more; rows: one number per distinct word."""
     n = len(rows) - window + 1

@@ -43,9 +43,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    both = bpe.round_trip(table(spark, sf_dir, "documents"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "decoded_sha256")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_and_text, map_batches, texts_of
+from edgeloom.llm.common import id_and_text, keeps, map_batches, texts_of
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Code points of surrounding text on each side that prime the compressor.
@@ -103,6 +103,9 @@ def _compressor(dictionary: str) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
+keeps(__name__, _compressor.cache_clear)
+
+
 def marginal_sizes(text: str, start: int, end: int, others: list[str], dictionary: str = IDENTIFIERS) -> list[int]:
     """What text[start:end], and each of the others in its place, adds to the compressed size of its surroundings."""
     press = _compressor(dictionary).compress

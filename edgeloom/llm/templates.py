@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_and_text, map_batches, stored, texts_of, without_keys
+from edgeloom.llm.common import id_and_text, keeps, map_batches, stored, texts_of, without_keys
 
 WINDOW, LEAST, SLOTS, FIXED = 8, 5, 3, 2
 ENOUGH, COVERED = 13, 0.6
@@ -37,7 +37,7 @@ ENOUGH, COVERED = 13, 0.6
 #: the benchmark is sent to every task instead of being shuffled.
 BITS_EACH, SHIFTS, BROADCAST = 24, (0, 13, 26, 39), 200_000
 #: Distinct words that a task keeps.
-WORDS = 500_000
+WORDS = 250_000
 
 #: Words for numbers and units.
 NUMBER_WORDS = frozenset("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
@@ -111,11 +111,18 @@ class Table(dict):
 _table = Table()
 
 
+def _forget() -> None:
+    global _table
+    _table = Table()
+
+
+keeps(__name__, _forget)
+
+
 def split_all(texts: list[str]) -> list[tuple[list[bytes], np.ndarray]]:
     """Words and their rows in the task's table."""
-    global _table
     if len(_table) > WORDS:
-        _table = Table()
+        _forget()
     words = [t.encode("utf-8", "replace").split() for t in texts]
     return [(w, np.fromiter(map(_table.__getitem__, w), np.int64, len(w))) for w in words]
 
