@@ -38,8 +38,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_sha256 (of the text that the ids decode to)."""
-    found = bpe.decode(bpe.encode(docs))
-    return found.selectExpr("doc_id", "cast(size(ids) as bigint) as n_tokens", "ids", "sha2(text, 256) as decoded_sha256")
+    return bpe.round_trip(docs).selectExpr("doc_id", "cast(size(ids) as bigint) as n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
