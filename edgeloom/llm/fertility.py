@@ -24,7 +24,7 @@ from edgeloom.llm.bpe import byte_chars
 from edgeloom.llm.common import id_and_text, keeps, map_batches, texts_of, tokenizer_path
 
 VOCABULARY, SECOND = "piece_bpe_32k.model", "byte_bpe_50k.json"
-WORDS = 250_000
+WORDS = 400_000
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 _WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
