@@ -42,6 +42,9 @@ PROBE_COST = 4.0
 PLANNED_FOR = 10_000_000
 #: Fingerprints this near are of one family of copies; of uniform ones, a pair in 500 is.
 FAMILY = 20
+#: Rows up to which one side of a join is sent to every task. Spark's own estimate of a table that is exploded takes no account of how many rows that
+#: makes, so the probes of a small table would be sent through the driver.
+SENT = 100_000
 
 _XX = xxhash.xxh64_intdigest
 
@@ -191,11 +194,13 @@ def links(fps: DataFrame, plan: list[tuple[list[int], int]], total: int, distanc
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     most = F.element_at(_longs([max(hot, CROWD * total // 2 ** len(bits)) for bits, _ in plan]), F.col("part") + 1)
     crowded = stored(index.groupBy("part", "key").count().filter(F.col("count") > most).select("part", "key"))
+    crowds = _by_part(crowded)
     # probes of a crowded value meet nothing here, as its own fingerprints are left out
-    cold = _probes(fps, plan).join(index.join(crowded, ["part", "key"], "left_anti"), ["part", "key"]).filter((F.col("a") != F.col("b")) & near).select("a", "b")
-    if crowded.isEmpty():
+    cold_index = index.join(_sent(crowded, sum(crowds.values())), ["part", "key"], "left_anti")
+    cold = _probes(fps, plan).hint("merge").join(cold_index, ["part", "key"]).filter((F.col("a") != F.col("b")) & near).select("a", "b")
+    if not crowds:
         return cold.distinct()
-    stars, dealt = _dealt(_members(index, crowded, plan), distance, size, hubs)
+    stars, dealt = _dealt(_members(index, crowded, plan, crowds), distance, size, hubs)
     ship(spark)
     warm = dealt.repartition("part", "key", "block", "visit").sortWithinPartitions("part", "key", "block", "visit").mapInArrow(_forests(distance), "a long, b long")
     return cold.unionByName(stars).unionByName(warm).distinct()
@@ -213,14 +218,26 @@ def _dealt(members: DataFrame, distance: int, size: int, hubs: int) -> tuple[Dat
     return stars, small.unionByName(_blocks(marked, size))
 
 
-def _members(index: DataFrame, crowded: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """part, key, fp, own: the fingerprints that have a crowded value (own), and those within the part's threshold of it."""
-    around = None
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows of one side of a join: sent to every task if they are few, else dealt out with the other side."""
+    return F.broadcast(rows) if n <= SENT else rows.hint("merge")
+
+
+def _by_part(crowded: DataFrame) -> dict[int, int]:
+    return {r["part"]: r["count"] for r in crowded.groupBy("part").count().collect()}
+
+
+def _members(index: DataFrame, crowded: DataFrame, plan: list[tuple[list[int], int]], crowds: dict[int, int] | None = None) -> DataFrame:
+    """part, key, fp, own: the fingerprints that have a crowded value (own), and those within the part's threshold of it. crowds: how many such values each part has."""
+    crowds = _by_part(crowded) if crowds is None else crowds
+    around, n = None, 0
     for i, (bits, t) in enumerate(plan):
-        one = F.when(F.col("part") == i, _longs(_flips(bits, t)))
+        flips = _flips(bits, t)
+        n += crowds.get(i, 0) * len(flips)
+        one = F.when(F.col("part") == i, _longs(flips))
         around = one if around is None else F.coalesce(around, one)
     values = crowded.select("part", "key", F.explode(around).alias("flip")).select("part", F.col("key").alias("crowd"), F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
-    return index.join(values, ["part", "key"]).select("part", F.col("crowd").alias("key"), F.col("b").alias("fp"), (F.col("key") == F.col("crowd")).alias("own"))
+    return index.join(_sent(values, n), ["part", "key"]).select("part", F.col("crowd").alias("key"), F.col("b").alias("fp"), (F.col("key") == F.col("crowd")).alias("own"))
 
 
 def _around_hubs(large: DataFrame, distance: int, hubs: int) -> tuple[DataFrame, DataFrame]:

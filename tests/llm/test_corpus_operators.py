@@ -218,6 +218,33 @@ def test_rows_of_crowds_follow_the_fingerprints(spark):
         assert members.count() <= values * n and dealt.count() <= 1.5 * values * n and stars.count() <= 2 * values * n
 
 
+def sends_exploded_rows(df):
+    """Whether a join of the plan sends rows that an explode makes to every task."""
+    above = []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        above = [x for x in above if x[0] < depth] + [(depth, line)]
+        if "Generate " in line and any("BroadcastExchange" in x for _, x in above):
+            return True
+    return False
+
+
+def test_exploded_rows_do_not_pass_the_driver(spark, monkeypatch):
+    """The probes of a small table are many; neither they nor the many values around crowds are sent to every task, whatever Spark takes their size for."""
+    fps = np.random.default_rng(4).integers(0, 2**63, 3000, np.uint64)
+    df = simhash.stored(spark.createDataFrame([(int(x),) for x in fps], "fp long"))
+    plan = simhash.plan_parts(fps[:2048], 10**7)
+    assert not sends_exploded_rows(simhash.links(df, plan, len(fps)))
+    near = family(400, 0.05)
+    index = simhash.stored(simhash._index(spark.createDataFrame([(int(x),) for x in near.view(np.int64)], "fp long"), plan))
+    crowded = simhash.stored(index.groupBy("part", "key").count().filter("count > 4").select("part", "key"))
+    few = simhash._members(index, crowded, plan)
+    monkeypatch.setattr(simhash, "SENT", 10)
+    many = simhash._members(index, crowded, plan)
+    assert sends_exploded_rows(few) and not sends_exploded_rows(many)
+    assert few.count() > 0 and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
