@@ -245,6 +245,23 @@ def test_exploded_rows_do_not_pass_the_driver(spark, monkeypatch):
     assert few.count() > 0 and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
 
 
+def test_op7_sends_no_exploded_rows(spark, tmp_path, monkeypatch):
+    """Over the whole operator of op7, with crowds: no table that it stores on its way is made with exploded rows sent to every task."""
+    rows = write_docs(spark, tmp_path, near_texts())
+    sent, store = [], simhash.stored
+
+    def watched(df):
+        sent.append(sends_exploded_rows(df))
+        return store(df)
+
+    monkeypatch.setattr(simhash, "stored", watched)
+    monkeypatch.setattr(simhash, "SENT", 0, raising=False)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, hot=1).collect()}
+    assert len(sent) > 5 and not any(sent)
+    assert [got[r[0]] for r in rows] == brute_components([r[0] for r in rows], [brute_fingerprint(t or "") for _, t, *_ in rows])
+
+
 def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
