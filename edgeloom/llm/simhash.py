@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from edgeloom.llm.common import id_and_text, map_batches, stored, without_keys
 from edgeloom.operators.components import components
 from edgeloom.shipping import ship
+from edgeloom.storage import SENT, unsent
 
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 4, 4
 #: Fingerprints drawn to estimate how bits correlate and how many candidates a part yields. It bounds what the driver sees; results do not depend on it.
@@ -42,9 +43,6 @@ PROBE_COST = 4.0
 PLANNED_FOR = 10_000_000
 #: Fingerprints this near are of one family of copies; of uniform ones, a pair in 500 is.
 FAMILY = 20
-#: Rows up to which one side of a join is sent to every task. Spark's own estimate of a table that is exploded takes no account of how many rows that
-#: makes, so the probes of a small table would be sent through the driver.
-SENT = 100_000
 
 _XX = xxhash.xxh64_intdigest
 
@@ -200,26 +198,29 @@ def links(fps: DataFrame, plan: list[tuple[list[int], int]], total: int, distanc
     cold = _probes(fps, plan).hint("merge").join(cold_index, ["part", "key"]).filter((F.col("a") != F.col("b")) & near).select("a", "b")
     if not crowds:
         return cold.distinct()
-    stars, dealt = _dealt(_members(index, crowded, plan, crowds), distance, size, hubs)
+    stars, dealt = _dealt(_members(index, crowded, plan, crowds), distance, size, hubs, sum(crowds.values()))
     ship(spark)
     warm = dealt.repartition("part", "key", "block", "visit").sortWithinPartitions("part", "key", "block", "visit").mapInArrow(_forests(distance), "a long, b long")
     return cold.unionByName(stars).unionByName(warm).distinct()
 
 
-def _dealt(members: DataFrame, distance: int, size: int, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """Links to hubs; and the rows that are worked off, by group: part, key, block, visit, fp, whether it is compared (visits) with those that stay, and known."""
+def _dealt(members: DataFrame, distance: int, size: int, hubs: int, n: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Links to hubs; and the rows that are worked off, by group: part, key, block, visit, fp, whether it is compared (visits) with those that stay, and known.
+    n: how many crowds there are."""
     sizes = members.groupBy("part", "key").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("long")).alias("own_n"))
-    crowds = stored(members.join(sizes, ["part", "key"]))
+    crowds = stored(members.join(unsent(sizes, n, SENT), ["part", "key"]))
     small = crowds.filter(F.col("n") <= size).select("part", "key", F.lit(0).alias("block"), F.lit(0).alias("visit"), "fp", F.col("own").alias("visits"), F.lit(True).alias("stays"), F.lit(False).alias("known"))
     large = crowds.filter(F.col("n") > size)
-    if large.isEmpty():
+    n_large = large.select("part", "key").distinct().count()
+    if not n_large:
         return small.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0), small
-    stars, marked = _around_hubs(large, distance, hubs)
-    return stars, small.unionByName(_blocks(marked, size))
+    stars, marked = _around_hubs(large, distance, hubs, n_large)
+    return stars, small.unionByName(_blocks(marked, size, n_large))
 
 
 def _sent(rows: DataFrame, n: int) -> DataFrame:
-    """The n rows of one side of a join: sent to every task if they are few, else dealt out with the other side."""
+    """The n rows of one side of a join: sent to every task if they are few, else dealt out with the other side. Spark's own estimate of a table that is
+    exploded takes no account of how many rows that makes, so the probes of a small table would be sent through the driver."""
     return F.broadcast(rows) if n <= SENT else rows.hint("merge")
 
 
@@ -240,11 +241,11 @@ def _members(index: DataFrame, crowded: DataFrame, plan: list[tuple[list[int], i
     return index.join(_sent(values, n), ["part", "key"]).select("part", F.col("crowd").alias("key"), F.col("b").alias("fp"), (F.col("key") == F.col("crowd")).alias("own"))
 
 
-def _around_hubs(large: DataFrame, distance: int, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """The links of the members of large crowds to their hubs; and the members with whether the hubs of the largest group that hubs link reach them (known)."""
+def _around_hubs(large: DataFrame, distance: int, hubs: int, n: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Of n crowds: the links of the members of large crowds to their hubs; and the members with whether the hubs of the largest group that hubs link reach them (known)."""
     drawn = F.pmod(F.xxhash64("fp", "part"), F.col("own_n")) < hubs
     chosen = large.filter(F.col("own") & drawn).groupBy("part", "key").agg(F.slice(F.array_sort(F.collect_set("fp")), 1, 62).alias("hubs"))
-    met = large.join(chosen, ["part", "key"], "left")
+    met = large.join(unsent(chosen, n * hubs, SENT), ["part", "key"], "left")
     reach = F.aggregate(
         F.sequence(F.lit(1), F.size("hubs")), F.lit(0).cast("long"), lambda mask, i: mask.bitwiseOR(F.when(F.bit_count(F.element_at("hubs", i).bitwiseXOR(F.col("fp"))) <= distance, F.call_function("shiftleft", F.lit(1).cast("long"), i - 1)).otherwise(F.lit(0).cast("long")))
     )
@@ -264,14 +265,14 @@ def _around_hubs(large: DataFrame, distance: int, hubs: int) -> tuple[DataFrame,
     for _ in range(4):
         group = one_pass(group)
     grouped = grouped.select("part", "key", group.alias("group"))
-    marked = met.join(grouped, ["part", "key"], "left").select("part", "key", "fp", "n", (F.col("mask").bitwiseAND(F.coalesce("group", F.lit(0).cast("long"))) != 0).alias("known"))
+    marked = met.join(unsent(grouped, n, SENT), ["part", "key"], "left").select("part", "key", "fp", "n", (F.col("mask").bitwiseAND(F.coalesce("group", F.lit(0).cast("long"))) != 0).alias("known"))
     return stars.unionByName(between), stored(marked)
 
 
-def _blocks(marked: DataFrame, size: int) -> DataFrame:
+def _blocks(marked: DataFrame, size: int, n: int = 0) -> DataFrame:
     """Members dealt to blocks of about `size`: each stays in one, and those that are not known visit every block, in groups of about `size` too."""
     visitors = marked.groupBy("part", "key").agg(F.sum((~F.col("known")).cast("long")).alias("v"))
-    held = marked.join(visitors, ["part", "key"]).filter("v > 0")
+    held = marked.join(unsent(visitors, n, SENT), ["part", "key"]).filter("v > 0")
     blocks, groups = (F.ceil(F.col(c) / F.lit(size)).cast("int") for c in ("n", "v"))
     deal = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), n.cast("long")).cast("int")
     columns = lambda rows, visits: rows.select("part", "key", "block", "visit", "fp", F.lit(visits).alias("visits"), F.lit(not visits).alias("stays"), "known")
@@ -357,10 +358,10 @@ def _named(docs: DataFrame, id_col: str, text_col: str, distance: int = DISTANCE
     plan = plan_parts(sample, max(total, PLANNED_FOR), distance)
     edges = stored(links(nodes.select("fp"), plan, total, distance, hot))
     touched = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
-    linked = nodes.join(touched, "fp", "left_semi").select(F.col("fp").alias("node"), F.coalesce("label", F.lit(_LAST)).alias("label"))
-    found = components(linked, edges).select(F.col("node").alias("fp"), F.col("label").alias("reached"), "root")
-    named = nodes.join(found, "fp", "left").select("fp", F.nullif(F.coalesce("reached", "label"), F.lit(_LAST)).alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return prints, stored(named)
+    linked = nodes.join(unsent(touched, total, SENT), "fp", "left_semi").select(F.col("fp").alias("node"), F.coalesce("label", F.lit(_LAST)).alias("label"))
+    found = components(linked, edges, SENT).select(F.col("node").alias("fp"), F.col("label").alias("reached"), "root")
+    named = nodes.join(unsent(found, total, SENT), "fp", "left").select("fp", F.nullif(F.coalesce("reached", "label"), F.lit(_LAST)).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints, unsent(stored(named), total, SENT)
 
 
 _LAST = (1 << 63) - 1

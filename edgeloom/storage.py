@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows up to which a table may be sent to every task by way of the driver.
+SENT = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where that is unset and the driver is the only machine (tests, the command line on a local master)."""
     sc = spark.sparkContext
@@ -29,3 +33,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/edgeloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unsent(rows: DataFrame, n: int, most: int = SENT) -> DataFrame:
+    """The n rows of one side of a join: up to `most`, how they meet the other side is left to Spark; more are dealt out with it. Spark goes by the bytes of
+    a stored table, and few distinct labels make those a small part of what the rows take in the driver's memory."""
+    return rows if n <= most else rows.hint("merge")

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from edgeloom.llm import bpe, queries, secret_scan, simhash, templates, warc_zip
+from edgeloom.operators import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -263,6 +264,30 @@ def test_op7_sends_no_exploded_rows(spark, tmp_path, monkeypatch):
     assert [got[r[0]] for r in rows] == brute_components([r[0] for r in rows], [brute_fingerprint(t or "") for _, t, *_ in rows])
 
 
+def test_op7_sends_no_table_that_grows(spark, tmp_path, monkeypatch):
+    """A stored table is small beside what its rows take in the driver's memory, so more than SENT rows are never sent to every task, whatever their bytes."""
+    rows = write_docs(spark, tmp_path, near_texts())
+    sent, store = [], simhash.stored
+
+    def watched(df):
+        sent.append("Broadcast" in df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "stored", watched)
+    monkeypatch.setattr(simhash, "SENT", 0)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    found = simhash.near_duplicates(docs, hot=1)
+    sent.append("Broadcast" in found._jdf.queryExecution().executedPlan().toString())
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert [got[r[0]] for r in rows] == brute_components([r[0] for r in rows], [brute_fingerprint(t or "") for _, t, *_ in rows])
+    fps = family(200, 0.05)
+    df = simhash.stored(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"))
+    around = simhash.links(df, simhash.plan_parts(fps, 10**7), len(fps), hot=1, size=16, hubs=2)
+    sent.append("Broadcast" in around._jdf.queryExecution().executedPlan().toString())
+    assert len(sent) > 15 and not any(sent)
+
+
 def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
