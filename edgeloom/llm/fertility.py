@@ -1,8 +1,9 @@
 """Quality rules with tokeniser fertility.
 
-Every word of a text is encoded by public vocabularies of two kinds, a sentence-piece one with byte fallback and a byte-level one, each distinct word once per task. By
-each, a text's characters per token, the share of its tokens that are bytes of characters without pieces, and the entropy of its tokens are held against
-bands of the script that most of its letters have; a text that any of them is outside of is rejected. The base rules (word count, repeated windows) reject first.
+Every word of a text is encoded by public vocabularies of two kinds, a sentence-piece one with byte fallback and a byte-level one, each distinct word once per task (anew after
+WORDS). Byte-level ids are the tokenizers library's; tiktoken, where it is installed, works out most of them (`ByteLevel`). By each, a text's characters per token, the
+share of its tokens that are bytes of characters without pieces, and the entropy of its tokens are held against bands of the script that most of its letters have; a text
+that any of them is outside of is rejected. The base rules (word count, repeated windows) reject first.
 
 Words are what ASCII white space parts. Results: a null or empty text has no words, fails the base and is not kept; texts without
 tokens have measures of 0; texts of fewer tokens than the entropy band begins with are not held against it; very long texts are measured whole; of scripts with as many
@@ -12,19 +13,23 @@ letters the first of the list counts. Repeated rows are each measured; an empty
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from edgeloom.llm.bpe import byte_chars
+from edgeloom.llm.bpe import _WORD, byte_chars
 from edgeloom.llm.common import id_and_text, keeps, map_batches, texts_of, tokenizer_path
 
 VOCABULARY, SECOND = "piece_bpe_32k.model", "byte_bpe_50k.json"
 WORDS = 400_000
+#: Words of up to 256 characters that every Unicode version classes alike: Latin, Greek, Cyrillic, Japanese, Han and Hangul as they have long been encoded, and common punctuation.
+_SURE_WORD = re.compile("[!-~\xa1-ɏΑ-ΡΣ-ώЀ-ҁҊ-ӿ‐-‧、。ぁ-ゖァ-ヺ一-龥가-힣]{0,256}")
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 _WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -43,7 +48,11 @@ class Band:
         """0 below the first point: short texts say nothing here."""
         if tokens < self.entropy[0][0]:
             return 0.0
-        return float(np.interp(np.log2(tokens), [np.log2(n) for n, _ in self.entropy], [h for _, h in self.entropy]))
+        return float(np.interp(np.log2(tokens), *self._line))
+
+    @functools.cached_property
+    def _line(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([np.log2(n) for n, _ in self.entropy]), np.array([h for _, h in self.entropy], float)
 
 
 #: Bands by script. Entropy grows with a text's length, so its bound does too: texts that are padded with the same marks or words stay below it.
@@ -85,6 +94,102 @@ def script_of(text: str) -> str:
     return best if counts[best] > 0 and counts[best] >= rest else "other"
 
 
+def ranks_of(path: str, model) -> dict[bytes, int] | None:
+    """The bytes of each token of a byte-level vocabulary with its id, if joining always the two neighbours whose union has the least id gives what the tokenizers library gives.
+
+    It does if ids grow along the merges and every token comes out of its own bytes as itself: what happens inside of a token's bytes doesn't depend on what is around them
+    until a merge crosses their bounds, so neighbours that make up a token are those of its merge."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    own, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if own.get("type") != "BPE" or any(own.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")) or spec.get("normalizer"):
+        return None
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        return None
+    byte, vocab = {c: b for b, c in byte_chars().items()}, own["vocab"]
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in own["merges"]]
+    added = {t["content"] for t in spec["added_tokens"]}
+    tokens = {t: i for t, i in vocab.items() if t not in added}
+    if made != sorted(set(made)) or not byte.keys() <= tokens.keys() or any(not byte.keys() >= set(t) or [x.id for x in model.model.tokenize(t)] != [i] for t, i in tokens.items()):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in tokens.items()}
+
+
+class ByteLevel:
+    """Words, with a space before, to ids of a byte-level vocabulary as the tokenizers library gives them. By far most words go to tiktoken, all in one call, which takes a quarter of
+    the time; the library itself has those with characters that Unicode versions might class differently, with an added token's text, and those that are very long."""
+
+    def __init__(self, path: str, model):
+        self.model, self.added = model, [t.content for t in model.get_added_tokens_decoder().values()]
+        self.bound = max(model.get_vocab(with_added_tokens=True).values()) + 1
+        self.fast = None
+        try:
+            import tiktoken
+        except ModuleNotFoundError:
+            return
+        if ranks := ranks_of(path, model):
+            # a line's end is in no word, so as a token of its own it parts them
+            self.fast = tiktoken.Encoding(os.path.basename(path), pat_str=_WORD.pattern, mergeable_ranks=ranks, special_tokens={"\n": self.bound})
+
+    def plain(self, words: list[str]) -> list[bool]:
+        """Which words are for tiktoken."""
+        text, is_sure = "\n".join(words), _SURE_WORD.fullmatch
+        if any(t in text for t in self.added):
+            return [is_sure(w) is not None and not any(t in w for t in self.added) for w in words]
+        return [is_sure(w) is not None for w in words]
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each word has."""
+        if not self.fast:
+            return joined([x.ids for x in self.model.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)])
+        plain = self.plain(words)
+        if all(plain):
+            return self.by_ranks(words)
+        fast = np.array(plain)
+        lens, parts = np.zeros(len(words), np.int64), []
+        for mine, (flat, own) in (
+            (fast, self.by_ranks([w for w, x in zip(words, plain, strict=True) if x])),
+            (~fast, joined([x.ids for x in self.model.encode_batch_fast([f" {w}" for w, x in zip(words, plain, strict=True) if not x], add_special_tokens=False)])),
+        ):
+            lens[mine] = own
+            parts.append((mine, flat))
+        out = np.zeros(int(lens.sum()), np.int32)
+        for mine, flat in parts:
+            out[np.repeat(mine, lens)] = flat
+        return out, lens
+
+    def by_ranks(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return joined([])
+        ids = self.fast.encode_to_numpy("\n ".join(["", *words]), allowed_special="all").astype(np.int32)
+        cuts = np.flatnonzero(ids == self.bound)
+        return np.delete(ids, cuts), np.diff(np.append(cuts, len(ids))) - 1
+
+
+def joined(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists one after another, and their lengths."""
+    lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum())), lens
+
+
+class Grown:
+    """An array that grows at its end; its room doubles, so adding a little doesn't copy what is there."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        end = self.size + len(more)
+        if end > len(self.room):
+            room = np.zeros(max(end, 2 * len(self.room)), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : end] = more
+        self.size = end
+
+
 class Vocabulary:
     """A public vocabulary, and the tokens of a table's words by rows."""
 
@@ -94,7 +199,7 @@ class Vocabulary:
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-            self.encode = lambda words: model.encode(words, num_threads=1)
+            self.encode = lambda words: joined(model.encode(words, num_threads=1))
         else:
             from tokenizers import Tokenizer
 
@@ -107,31 +212,37 @@ class Vocabulary:
                 if byte >= 128 and char in ids:
                     self.is_byte[ids[char]] = True
             # a word as it stands in running text, with the space before
-            self.encode = lambda words: [x.ids for x in model.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
+            self.encode = ByteLevel(path, model)
         self.forget()
 
     def forget(self) -> None:
-        self.flat, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.starts, self.lens = Grown(np.int32), Grown(np.int64), Grown(np.int64)
 
     def learn(self, words: list[str]) -> None:
-        ids = self.encode(words)
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lens.sum()))])
-        self.lens = np.concatenate([self.lens, lens])
-
-    def measures(self, rows: np.ndarray, chars: int) -> tuple[float, float, float, int]:
-        """Characters per token, share of byte tokens, entropy in bits, and number of tokens of a text of the words at these rows."""
-        lens = self.lens[rows]
-        total = int(lens.sum())
-        if not total:
-            return 0.0, 0.0, 0.0, 0
+        flat, lens = self.encode(words)
+        self.starts.add(self.flat.size + np.cumsum(lens) - lens)
+        self.flat.add(flat)
+        self.lens.add(lens)
+
+    def measures(self, rows: np.ndarray, sizes: np.ndarray, chars: list[int]) -> list[tuple[float, float, float, int]]:
+        """Of each text, characters per token, share of byte tokens, entropy in bits, and number of tokens. rows: the rows of all texts' words, one text after another;
+        sizes: how many each text has."""
+        lens, bounds = self.lens.room[rows], np.concatenate(([0], np.cumsum(sizes)))
         ends = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.starts[rows] - ends + lens, lens) + np.arange(total)]
-        ids.sort()
-        counts = np.diff(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True]))))
-        p = counts / total
-        return chars / total, float(self.is_byte[ids].sum()) / total, float(-(p * np.log2(p)).sum()) + 0.0, total
+        ids = self.flat.room[np.repeat(self.starts.room[rows] - ends + lens, lens) + np.arange(len(lens) and ends[-1])]
+        cuts = np.concatenate(([0], ends))[bounds]
+        high = np.searchsorted(np.flatnonzero(self.is_byte[ids]), cuts)
+        totals = np.diff(cuts)
+        # one sort for all texts: each text's ids lie beyond those of the text before
+        kind = np.int32 if len(sizes) * len(self.is_byte) < 1 << 31 else np.int64
+        keys = np.repeat(np.arange(len(sizes), dtype=kind) * kind(len(self.is_byte)), totals)
+        keys += ids
+        keys.sort()
+        firsts = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+        own = np.searchsorted(firsts, cuts)
+        p = np.diff(np.append(firsts, len(keys))) / np.repeat(totals, np.diff(own))
+        bits, own = p * np.log2(p), own.tolist()
+        return [(c / t, h / t, float(-bits[a:z].sum()) + 0.0, t) if t else (0.0, 0.0, 0.0, 0) for c, t, h, a, z in zip(chars, totals.tolist(), np.diff(high).tolist(), own[:-1], own[1:], strict=True)]
 
 
 class Pieces(dict):
@@ -168,20 +279,28 @@ def pieces_of(*paths: str) -> Pieces:
 keeps(__name__, pieces_of.cache_clear)
 
 
-def repeated_words(rows: np.ndarray, window: int = WINDOW) -> int:
-    """Words inside a window of `window` words that the text has twice or more; rows: one number per distinct word."""
-    n = len(rows) - window + 1
-    if n < 2:
-        return 0
-    mixed = np.zeros(n, np.uint64)
+def windows_mixed(rows: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """A hash of the rows of each window."""
+    n = max(0, len(rows) - window + 1)
+    mixed, own = np.zeros(n, np.uint64), rows.astype(np.uint64)
     factor = np.uint64(0x9E3779B97F4A7C15)
     for k in range(window):
-        mixed = (mixed ^ rows[k : k + n].astype(np.uint64)) * factor
+        mixed ^= own[k : k + n]
+        mixed *= factor
         mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def repeated_words(rows: np.ndarray, window: int = WINDOW, mixed: np.ndarray | None = None) -> int:
+    """Words inside a window of `window` words that the text has twice or more; rows: one number per distinct word; mixed: windows_mixed of them."""
+    if len(rows) <= window:
+        return 0
+    mixed = windows_mixed(rows, window) if mixed is None else mixed
+    ordered = np.sort(mixed)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
     order = np.argsort(mixed, kind="stable")
     same = mixed[order][1:] == mixed[order][:-1]
-    if not same.any():
-        return 0
     doubtful = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
     windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(rows, window)[doubtful])  # equal hashes are checked on the words
     _, inverse, counts = np.unique(windows.view([("", windows.dtype)] * window).ravel(), return_inverse=True, return_counts=True)
@@ -215,21 +334,25 @@ def measure(texts: list[str], table: Pieces, *bands: dict[str, Band]) -> list[tu
     """A row of fields for each text. bands: those of each vocabulary."""
     words = [np.fromiter(map(table.__getitem__, w), np.int64, len(w)) for w in (t.encode("utf-8", "surrogatepass").split() for t in texts)]  # bytes.split parts at ASCII white space, as is wanted here
     table.settle()
-    out = [_measure(t, rows, table, bands) for t, rows in zip(texts, words, strict=True)]
+    sizes, rows = np.fromiter(map(len, words), np.int64, len(words)), np.concatenate([np.zeros(0, np.int64), *words])
+    chars = [len(t) - sum(t.count(c) for c in _WHITE) for t in texts]
+    found = [v.measures(rows, sizes, chars) for v in table.vocabularies]
+    mixed, at, out = windows_mixed(rows), 0, []
+    for t, own, n, *measures in zip(texts, words, chars, *found, strict=True):
+        out.append(_row(t, own, mixed[at : at + max(0, len(own) - WINDOW + 1)], n, measures, bands))
+        at += len(own)
     if len(table) > WORDS:
         table.forget()
     return out
 
 
-def _measure(text: str, rows: np.ndarray, table: Pieces, bands: tuple[dict[str, Band], ...]) -> tuple:
+def _row(text: str, rows: np.ndarray, mixed: np.ndarray, chars: int, measures: list[tuple[float, float, float, int]], bands: tuple[dict[str, Band], ...]) -> tuple:
     n = len(rows)
-    chars = len(text) - sum(text.count(c) for c in _WHITE)
-    repeated = repeated_words(rows)
+    repeated = repeated_words(rows, mixed=mixed)
     failed = n < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n
     script = script_of(text)
     good, found = True, []
-    for vocabulary, own in zip(table.vocabularies, bands, strict=True):
-        per, share, entropy, total = vocabulary.measures(rows, chars)
+    for (per, share, entropy, total), own in zip(measures, bands, strict=True):
         band = own.get(script) or own["other"]
         good &= band.chars_low <= per <= band.chars_high and share <= band.bytes_high and entropy >= band.entropy_low(total)
         found += [per, share, entropy]

@@ -293,6 +293,110 @@ def test_a_second_vocabulary_is_measured_like_the_first(spark):
     assert fertility.assess(docs.limit(0)).count() == 0
 
 
+class Counting:
+    """The tokenizers library, and how many words it is given."""
+
+    def __init__(self, model):
+        self.model, self.words = model, 0
+
+    def encode_batch_fast(self, words, **more):
+        self.words += len(words)
+        return self.model.encode_batch_fast(words, **more)
+
+
+def test_byte_level_ids_are_the_librarys():
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_path(fertility.SECOND)
+    library = Tokenizer.from_file(path)
+    rng, byte = random.Random(11), {c: b for b, c in bpe.byte_chars().items()}
+    vocab = sorted(library.get_vocab())
+    pieces = [bytes(byte.get(c, 63) for c in rng.choice(vocab)).decode("utf-8", "replace") for _ in range(3000)] + ["'s", "'ll", "12", "é", "ß", "²", "\xad", "###"]
+    odd = ["日本", "ж", "\x85", "\xa0", "\x1c", "\u200b", "ſ", "😀", "<|endoftext|>", "\ufffd"]
+    words = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6))) for _ in range(20_000)]
+    words += ["".join(rng.choice(pieces + odd * 300) for _ in range(rng.randrange(1, 6))) for _ in range(5_000)] + odd + ["x" * 257, "ab" * 30_000, "<|endoftext|>" * 3, "a<|endoftext|>b"]
+    words = [w for x in words for w in x.encode().split()]
+    words = [w.decode() for w in words]
+    want = [x.ids for x in library.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
+    level = fertility.ByteLevel(path, library)
+    level.model = Counting(library)
+    flat, lens = level(words)
+    assert lens.tolist() == list(map(len, want)) and flat.tolist() == [i for x in want for i in x]
+    sure = [c for c in map(chr, range(33, 0x10000)) if fertility._SURE_WORD.fullmatch(c)]
+    beside = [w for c in sure for w in (f"a{c}", f"1{c}b", f"-{c}{c}2")]
+    flat, _ = level(beside)
+    assert len(sure) > 30_000 and flat.tolist() == [i for x in library.encode_batch_fast([f" {w}" for w in beside], add_special_tokens=False) for i in x.ids]
+    # both class each of them alike: a splitter that keeps it with a letter, a digit or a mark lets these join its first byte
+    splitter = tiktoken.Encoding("x", pat_str=bpe._WORD.pattern, special_tokens={}, mergeable_ranks={bytes([b]): b for b in range(256)} | {bytes([x, b]): 256 * (2 + k) + b for k, x in enumerate(b"a1-") for b in range(256)})
+    theirs = library.pre_tokenizer
+    wide = [c for c in sure if c > "\x7f"]
+    assert [[splitter.encode_ordinary(x + c)[0] > 255 for x in "a1-"] for c in wide] == [[len(theirs.pre_tokenize_str(x + c)) == 1 for x in "a1-"] for c in wide]
+    # plain words, all there are in most texts, never need the library, whose objects for each word cost several times the encoding
+    level.model.words = 0
+    plain = [w for w in words if re.fullmatch("[!-~]{1,256}", w) and "<|endoftext|>" not in w]
+    assert len(plain) > 10_000 and len(level(plain)[1]) == len(plain) and level.model.words == 0
+    assert [len(x) for x in level([])] == [0, 0]
+
+
+def test_new_words_cost_less_than_the_library_takes_for_them():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path, rng = common.tokenizer_path(fertility.SECOND), random.Random(12)
+    words = ["".join(rng.choice(["th", "ou", "er", "in", "an", "es", "é", "qu"]) for _ in range(rng.randrange(2, 6))) for _ in range(20_000)]
+    library, vocabulary = Tokenizer.from_file(path), fertility.Vocabulary(path)
+
+    def seconds(run):
+        began = time.process_time()
+        run()
+        return time.process_time() - began
+
+    theirs = min(seconds(lambda: [x.ids for x in library.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]) for _ in range(3))
+    assert min(seconds(lambda: vocabulary.learn(words)) for _ in range(3)) < 0.7 * theirs
+
+
+def test_ranks_are_only_taken_from_vocabularies_they_hold_for(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(common.tokenizer_path(fertility.SECOND), encoding="utf-8") as file:
+        spec = json.load(file)
+    letters = {c: i for i, c in enumerate(sorted(bpe.byte_chars().values()))}
+    words = ["abc", "ab", "bc", "aabcc", "cab"]
+
+    def of(merges, **more):
+        spec["model"] |= {"vocab": letters | {"".join(m): 256 + i for i, m in enumerate(merges)}, "merges": merges, **more}
+        spec["added_tokens"] = []
+        path = tmp_path / "vocabulary.json"
+        path.write_text(json.dumps(spec), encoding="utf-8")
+        model = Tokenizer.from_file(str(path))
+        level = fertility.ByteLevel(str(path), model)
+        flat, lens = level(words)
+        want = [model.encode(f" {w}", add_special_tokens=False).ids for w in words]
+        assert flat.tolist() == [i for x in want for i in x] and lens.tolist() == list(map(len, want))
+        return level.fast is not None
+
+    assert of([["a", "b"], ["ab", "c"]])
+    # "abc" is never made, as "ab" is made first; by ranks "ab" and "c" would make it
+    assert not of([["a", "b"], ["b", "c"], ["a", "bc"]])
+    assert not of([["a", "b"], ["ab", "c"]], ignore_merges=True)
+
+
+def test_texts_measured_together_or_alone_give_the_same(monkeypatch):
+    rng = random.Random(13)
+    pool = ["river", "boat", "morning", "é", "日本", "x#", "of", "the", "a b c d e f g h", "\n"]
+    texts = ["", " ", *(" ".join(rng.choice(pool) + rng.choice(["", "", str(rng.randrange(999))]) for _ in range(rng.randrange(200))) for _ in range(60)), "", "one"]
+    table = fertility.Pieces(*(common.tokenizer_path(v) for v in (fertility.VOCABULARY, fertility.SECOND)))
+    bands = fertility.BANDS, fertility.SECOND_BANDS
+    together = fertility.measure(texts, table, *bands)
+    monkeypatch.setattr(fertility, "WORDS", 50)  # the table is forgotten again and again
+    assert together == [fertility.measure([t], table, *bands)[0] for t in texts]
+    assert fertility.measure([], table, *bands) == []
+
+
 def test_a_text_outside_of_any_band_is_rejected():
     table = fertility.Pieces(*(common.tokenizer_path(v) for v in (fertility.VOCABULARY, fertility.SECOND)))
     good = "the people who came to the river in the morning were told that every boat had left before sunrise and none would return until the evening"
